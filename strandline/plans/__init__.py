@@ -1,4 +1,6 @@
 """Registered queries and the SQL that states the same."""
 
-QUERIES = {}
-ORACLES = {}
+from strandline.plans import pipeline
+
+QUERIES = {**pipeline.QUERIES}
+ORACLES = {**pipeline.ORACLES}
