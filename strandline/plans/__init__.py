@@ -1,6 +1,7 @@
 """Registered queries and the SQL that states the same."""
 
-from strandline.plans import pipeline
+from strandline.plans import pipeline, reads
 
-QUERIES = {**pipeline.QUERIES}
-ORACLES = {**pipeline.ORACLES}
+_MODULES = (pipeline, reads)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
