@@ -1,7 +1,7 @@
 """Registered queries and the SQL that states the same."""
 
-from strandline.plans import pipeline, reads
+from strandline.plans import pipeline, reads, tables
 
-_MODULES = (pipeline, reads)
+_MODULES = (pipeline, reads, tables)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
