@@ -62,6 +62,7 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
 _SENTENCE = re.compile(r"(?<=[.!?…;:])[\"'»”)\]]*\s+")
 _RULE = re.compile(r"(?m)^[ \t]*(?:-{2,}|_{5,}|={5,})[ \t]*$")
 _WORD = re.compile(r"[^\W_]+")
+_CONTACT = re.compile(r"\S@\S|\+\d[\d ()/-]{6,}")
 
 # ---------------------------------------------------------------- text
 
@@ -77,11 +78,19 @@ def clean_passages(raw: str | None) -> list[str]:
             text = ATTRIBUTION.sub("\n", text)
         for p in _PARAGRAPH.split(_RULE.sub("\n\n", text)):
             p = " ".join(p.split())
-            if p and not is_notice(p):
+            if p and not is_signature(p) and not is_notice(p):
                 out.append(p)
     return out
 
 
+def is_signature(paragraph: str) -> bool:
+    """A name, or a few words with an e-mail address or a telephone number, and no sentence."""
+    if len(paragraph) > 160 or paragraph[-1] in ".!?:;,…":
+        return False
+    n = paragraph.count(" ") + 1
+    return n <= 3 or n <= 20 and bool(_CONTACT.search(paragraph))
+
+
 def is_notice(paragraph: str) -> bool:
     """A legal notice: it speaks of a mistake, and of two of message, addressee, sender."""
     low = paragraph.lower()
@@ -305,7 +314,7 @@ def training_sample(docs: DataFrame, per_language: int = 150, text: str = "text"
 
 # ---------------------------------------------------------------- application
 
-SWITCH = 3.0
+SWITCH = 5.0
 #: A sentence (a name, a telephone number) whose best language is less sure than this follows its neighbours.
 LEAST_SURE = 0.5
 #: Characters from which a sentence's evidence counts in full.
@@ -345,7 +354,8 @@ def segments_of(raws: list[str | None], net: ByteConvNet, switch: float = SWITCH
     mean = np.exp(total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[:, None])
     mean /= np.maximum(mean.sum(1, keepdims=True), 1e-12)
     total *= np.minimum(1, np.array([len(t) for t in texts]) / FULL_WEIGHT)[:, None]
-    total[mean.max(1, initial=0) < LEAST_SURE] = 0
+    told = mean.max(1, initial=0) >= LEAST_SURE
+    total[~told] = 0
     words = np.array([len(_WORD.findall(t)) for t in texts], int)
     size = np.array([len(t) for t in texts], float)
     out = []
@@ -358,7 +368,10 @@ def segments_of(raws: list[str | None], net: ByteConvNet, switch: float = SWITCH
             for a, b in zip([0, *cuts], [*cuts, len(path)]):
                 own = rows[a:b]
                 c = int(path[a])
-                found.append((LANGUAGES[c], float(np.average(mean[own, c], weights=size[own])), int(words[own].sum()), " ".join(texts[i] for i in own)))
+                sure = np.flatnonzero(told[own])
+                # sentences at either end that tell no language add no words
+                inner = own[sure[0] : sure[-1] + 1] if len(sure) else own[:0]
+                found.append((LANGUAGES[c], float(np.average(mean[own, c], weights=size[own])), int(words[inner].sum()), " ".join(texts[i] for i in own)))
         out.append(found)
     return out
 
@@ -408,14 +421,15 @@ def documents(docs: DataFrame, net: ByteConvNet, min_words: int = 15, **columns:
     return docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).mapInPandas(apply, schema)
 
 
-def verdict(label: str | None, found: list[tuple[str, float, int, str]], min_words: int):
+def verdict(label: str | None, found: list[tuple[str, float, int, str]], min_words: int, least: float = LEAST_SURE):
+    """A language counts if a segment of it has ``min_words`` words and a confidence of at least ``least``."""
     named = label_language(label)
     weight: dict[str, float] = {}
     sure: dict[str, float] = {}
     for c, p, n, _ in found:
         weight[c] = weight.get(c, 0) + n
         sure[c] = sure.get(c, 0) + n * p
-    long = sorted({c for c, _, n, _ in found if n >= min_words}, key=lambda c: (-weight[c], LANGUAGES.index(c)))
+    long = sorted({c for c, p, n, _ in found if n >= min_words and p >= least}, key=lambda c: (-weight[c], LANGUAGES.index(c)))
     main = long[0] if long else max(weight, key=lambda c: weight[c], default=None)
     conf = [sure[c] / max(weight[c], 1) for c in long]
     status = "short" if not long else "mixed" if len(long) > 1 else "missing" if not _names_any(label) else "ok" if named == main else "wrong"
