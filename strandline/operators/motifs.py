@@ -61,8 +61,9 @@ def masks_of(motif: str, offset: int) -> Masks:
     return {i - offset: MASK[c] for i, c in enumerate(motif.upper()) if MASK[c] != FULL}
 
 
-def text_of(masks: Masks) -> tuple[str, int]:
-    """IUPAC text and offset of the focus base."""
+def text_of(masks: Masks, base: str = "N") -> tuple[str, int]:
+    """IUPAC text and offset of the focus base, which is ``base``."""
+    masks = {0: MASK[base], **{o: m for o, m in masks.items() if o}}
     lo, hi = min([0, *masks]), max([0, *masks])
     return "".join(LETTER[masks.get(i, FULL)] for i in range(lo, hi + 1)), -lo
 
@@ -113,11 +114,11 @@ def fixed_seeds(kmers: DataFrame, focus: int, context: tuple[int, int] = (2, 2),
 
 
 class Search:
-    """Search for motifs of one code.  ``kmers``: (level, kmer, n) of that code."""
+    """Search for motifs of one code of ``base``.  ``kmers``: (level, kmer, n) of that code."""
 
-    def __init__(self, kmers: DataFrame, focus: int, length: int, min_sites: int = 300, min_frac: float = 0.85, min_log_odds: float = 1.5, seed_log_odds: float = 2.5):
+    def __init__(self, kmers: DataFrame, focus: int, length: int, base: str, min_sites: int = 300, min_frac: float = 0.85, min_log_odds: float = 1.5, seed_log_odds: float = 2.5):
         self.kmers = materialize(kmers.groupBy("level", "kmer").agg(F.sum("n").alias("n")))
-        self.focus, self.length = focus, length
+        self.focus, self.length, self.base = focus, length, base
         self.min_sites, self.min_frac, self.min_log_odds, self.seed_log_odds = min_sites, min_frac, min_log_odds, seed_log_odds
         self.offsets = [i - focus for i in range(length) if i != focus]
         self.memo: dict[tuple, tuple[int, int]] = {}
@@ -208,6 +209,7 @@ class Search:
             motif = max(good, key=lambda g: g[:3])[3]
 
     def refine(self, motif: Masks, subset: DataFrame | None = None) -> Masks:
+        motif = {o: m for o, m in motif.items() if o}  # the focus base is given
         motif = self.add(self.extend(motif, self.kmers if subset is None else subset))
         seen = []
         while motif not in seen:
@@ -264,7 +266,7 @@ class Search:
 
     def table(self, found: list[Masks]) -> list[tuple[str, int, int, int, float]]:
         """(motif, offset, high, low, frac), most modified first."""
-        rows = [(*text_of(m), *c, c[0] / max(1, sum(c))) for m, c in zip(found, self.counts(found))]
+        rows = [(*text_of(m, self.base), *c, c[0] / max(1, sum(c))) for m, c in zip(found, self.counts(found))]
         return sorted(rows, key=lambda r: (-r[4], r[0]))
 
 

@@ -35,7 +35,7 @@ def balance(rows: DataFrame) -> DataFrame:
     ranked = scored.withColumn("upto", upto).withColumn("total", total)
     least = F.min("total").over(Window.partitionBy())
     # row i of the sample is at rank floor((i + 1) total / (least + 1)): interior points, evenly spaced
-    below = lambda r: F.floor(((r * (F.col("least") + 1)).cast("double") - 1) / F.col("total")).cast("long")
+    below = lambda r: F.greatest(F.lit(0), F.floor(((r * (F.col("least") + 1)).cast("double") - 1) / F.col("total"))).cast("long")
     picked = ranked.withColumn("least", least)
     n = F.least(F.col("least"), below(F.col("upto"))) - F.least(F.col("least"), below(F.col("upto") - F.col("c")))
     return picked.withColumn("c", F.when(F.col("total") == F.col("least"), F.col("c")).otherwise(F.greatest(F.lit(0), n))).where("c > 0").select("truth", "call", "p", "c")

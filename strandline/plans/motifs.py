@@ -9,6 +9,7 @@ from strandline.functions import tags
 from strandline.functions.seq import Motif
 from strandline.operators import motifs, pileup
 from strandline.plans.binding import THRESHOLDS, read_positions
+from strandline.schema import BASE_OF_CODE
 from strandline.session import table
 
 MOTIFS = [Motif("CG", 0), Motif("DRACH", 2), Motif("CHH", 0), Motif("GATC", 1)]
@@ -49,7 +50,7 @@ def m1_fixed_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, code: str = "m") -> motifs.Search:
-    return motifs.Search(_levels(spark, d).where(F.col("code") == code), 2, 5, min_sites=20, min_frac=0.5, min_log_odds=0.3, seed_log_odds=0.5)
+    return motifs.Search(_levels(spark, d).where(F.col("code") == code), 2, 5, BASE_OF_CODE[code], min_sites=20, min_frac=0.5, min_log_odds=0.3, seed_log_odds=0.5)
 
 
 def _found(spark: SparkSession, s: motifs.Search, found) -> DataFrame:
