@@ -5,7 +5,8 @@ read position with the map of its code probabilities.  Defined results: rows wit
 read id, base or code, and codes that do not belong to the base, are left out; a null,
 NaN or out-of-range probability makes the position a ``nocall`` unless another code of it
 has one; deliveries of the same row again, exact or later, count once; probabilities that
-add up to more than 1 contradict each other and the position is left out.
+add up to more than 1 contradict each other and the position is left out.  Rows of one
+position that differ in strand or k-mers are different positions.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
-from strandline.schema import base_of_code
+from strandline.schema import BASE_OF_CODE, base_of_code
 from strandline.session import usable
 
 KEY = ("read_id", "sample_id", "flag", "chrom", "ref_pos", "fwd_pos", "mod_strand", "strand", "base")
+TEXT = ("ref_strand", "ref_kmer", "query_kmer")
 CARRIED = ("ref_strand", "read_len", "clip_start", "clip_end", "base_qual", "ref_kmer", "query_kmer", "inferred")
 
 
@@ -53,11 +55,17 @@ def positions(read_mods: DataFrame, code: str = "mod_code", prob: str = "mod_qua
         F.when(usable(F.col(prob), 0, 1), F.round(F.col(prob).cast("double"), 9)).alias("p"),
     ).where(base_of_code(F.col("code")) == F.col("base"))
     rows = rows.where("read_id is not null and fwd_pos is not null")
-    # one shuffle, by read: both groupings below are satisfied by it
+    # One shuffle, by read, which also serves later groupings by read.  Codes are aggregated
+    # in a slot each: only numbers are in the buffer, so the aggregation is hashed.
     rows = rows.repartition("read_id")
-    by_code = rows.groupBy(*KEY, "code").agg(F.max("p").alias("p"), *[F.max(c).alias(c) for c in CARRIED])
-    entries = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("code", "p"))))
-    out = by_code.groupBy(*KEY).agg(F.map_from_entries(entries).alias("probs"), F.array_sort(F.collect_set("code")).alias("codes"), *[F.max(c).alias(c) for c in CARRIED])
+    codes = sorted(BASE_OF_CODE)
+    # as SQL text: an expression of this size is put together faster that way
+    slots = [F.expr(f"max(case when code = '{c}' then coalesce(p, -1.0D) end) as p{i}") for i, c in enumerate(codes)]
+    wide = rows.groupBy(*KEY, *TEXT).agg(*slots, *[F.max(c).alias(c) for c in CARRIED if c not in TEXT])
+    entries = ", ".join(f"named_struct('code', '{c}', 'p', p{i})" for i, c in enumerate(codes))
+    out = wide.select(*KEY, *CARRIED, F.expr(f"filter(array({entries}), x -> x.p is not null) as seen"))
+    probs = F.map_from_entries(F.filter("seen", lambda x: x["p"] >= 0))
+    out = out.select(*KEY, probs.alias("probs"), F.transform("seen", lambda x: x["code"]).alias("codes"), *CARRIED)
     kind = F.when(F.size("probs") == 0, "nocall").otherwise("call")
     return out.withColumn("kind", kind).where(P.total(F.col("probs")) <= P.MOST)
 
@@ -73,7 +81,7 @@ def adjust(pos: DataFrame, ignore: list[str] = (), convert: list[tuple[str, str]
     probs, codes = F.col("probs"), F.col("codes")
     for source, target in convert:
         probs = P.convert(probs, source, target)
-        codes = F.array_distinct(F.transform(codes, lambda c, a=source, b=target: F.when(c == a, b).otherwise(c)))
+        codes = F.array_distinct(F.transform(codes, _replace(source, target)))
     for code in ignore:
         probs = P.ignore(probs, code)
         codes = F.array_remove(codes, code)
@@ -85,6 +93,10 @@ def adjust(pos: DataFrame, ignore: list[str] = (), convert: list[tuple[str, str]
     return out
 
 
+def _replace(source: str, target: str):
+    return lambda c: F.when(c == source, target).otherwise(c)
+
+
 def call_mods(pos: DataFrame, thresholds: P.Thresholds) -> DataFrame:
     """The called class of each position at probability 1; failed calls are left out."""
     c = called(pos.where("kind = 'call'"), thresholds)

@@ -271,16 +271,19 @@ class Segmenter:
                     continue
                 cut = np.flatnonzero(np.diff(states)) + 1
                 for x, y in zip([0, *cut], [*cut, keep]):
-                    out.append((key[0], int(b["chain"]), int(pos[x]), int(pos[y - 1]) + 1, int(states[x]), y - x))
-            return pd.DataFrame(out, columns=["chrom", "chain", "start", "end", "state", "num_sites"])
+                    out.append((key[0], int(b["chain"]), int(pos[x]), int(pos[y - 1]) + 1, int(states[x]), y - x, x == 0, y == keep))
+            return pd.DataFrame(out, columns=["chrom", "chain", "start", "end", "state", "num_sites", "first", "last"])
 
-        runs = rows.groupBy("chrom", "block").cogroup(fixed.groupBy("chrom", "block")).applyInPandas(label, "chrom string, chain long, start long, end long, state int, num_sites long")
-        # runs that go on in the next block are put together: gaps and islands over runs
+        runs = rows.groupBy("chrom", "block").cogroup(fixed.groupBy("chrom", "block")).applyInPandas(label, "chrom string, chain long, start long, end long, state int, num_sites long, first boolean, last boolean")
+        runs = materialize(runs)
+        # only the runs at the borders of a piece can go on in the next one: two a piece
         w = Window.partitionBy("chrom").orderBy("start")
-        new = F.coalesce(((F.lag("state").over(w) != F.col("state")) | (F.lag("chain").over(w) != F.col("chain"))).cast("int"), F.lit(1))
-        merged = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).groupBy("chrom", "_run")
-        state = F.when(F.min("state") == 0, "same").otherwise("different")
-        return merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), state.alias("state"), F.sum("num_sites").alias("num_sites")).drop("_run")
+        joined = F.lag("last").over(w) & F.col("first") & (F.lag("state").over(w) == F.col("state")) & (F.lag("chain").over(w) == F.col("chain"))
+        border = runs.where("first or last").withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+        merged = border.groupBy("chrom", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("state").alias("state"), F.sum("num_sites").alias("num_sites")).drop("_run")
+        inner = runs.where("not (first or last)").select("chrom", "start", "end", "state", "num_sites")
+        state = F.when(F.col("state") == 0, "same").otherwise("different")
+        return merged.unionByName(inner).withColumn("state", state)
 
 
 def segment_rows(segments: DataFrame, scored: DataFrame) -> DataFrame:

@@ -44,13 +44,23 @@ def containing(reads: DataFrame, windows: DataFrame, size: int = BIN) -> DataFra
     return w.join(r, on).drop("_wbin", "_bin", "_chrom")
 
 
-def merge(intervals: DataFrame, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Overlapping or touching intervals of a group as one."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
-    marked = intervals.where("chrom is not null and end > start").withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return marked.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_run")
+def merge(intervals: DataFrame, by: tuple[str, ...] = ("chrom",), size: int = BIN) -> DataFrame:
+    """Overlapping or touching intervals of a group as one.
+
+    Intervals are ordered within bins of their start; how far earlier bins reach, and how
+    many merged intervals begin in them, is carried over from one row per bin, so no
+    chromosome is sorted in one task."""
+    rows = intervals.where("chrom is not null and start is not null and end > start").withColumn("_bin", F.expr(f"start div {size}"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*by, "_bin").agg(F.max("end").alias("_e")).withColumn("_reach", F.max("_e").over(before)).drop("_e")
+    w = Window.partitionBy(*by, "_bin").orderBy("start", "end")
+    inside = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    so_far = F.greatest("_reach", inside)  # null only where both are
+    marked = rows.join(reach, [*by, "_bin"]).withColumn("_new", F.coalesce((F.col("start") > so_far).cast("long"), F.lit(1)))
+    begun = marked.groupBy(*by, "_bin").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # by range: equal intervals are in one run, whichever of them began it
+    numbered = marked.join(begun, [*by, "_bin"]).withColumn("_run", F.col("_base") + F.sum("_new").over(w))
+    return numbered.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_run")
 
 
 def midpoint(start: Column, end: Column) -> Column:

@@ -28,21 +28,26 @@ def partition_key(*tags: Column) -> Column:
 def features(pos: DataFrame, thresholds: P.Thresholds) -> DataFrame:
     """Mapped, primary positions with their call and the codes carried by their read."""
     rows = pos.where(is_primary(F.col("flag")) & is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos")) & F.col("strand").isin("+", "-"))
-    per_read = rows.groupBy("read_id").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("read_codes"))
-    return called(rows, thresholds).join(per_read, "read_id")
+    # positions are laid out by read, so this window sorts but does not shuffle
+    of_read = F.array_distinct(F.flatten(F.collect_set("codes").over(Window.partitionBy("read_id"))))
+    return called(rows.withColumn("read_codes", of_read), thresholds)
 
 
 def tally(feat: DataFrame, keys: list[str]) -> DataFrame:
     """One row per ``keys``: counts by state, base and code, and the codes observed."""
-    call, base = F.col("call.kind"), F.col("base")
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    # as SQL text: an expression of this size is put together faster that way
+    def counts(kind: str) -> str:
+        return ", ".join(f"'{b}', count_if(call.kind = '{kind}' and base = '{b}')" for b in BASES)
+
+    mod = ", ".join(f"'{i}', count_if(call.kind = 'modified' and call.code = '{c}')" for c, i in SLOT.items())
+    seen = ", ".join(f"'{i}', max(array_contains(read_codes, '{c}'))" for c, i in SLOT.items())
     return feat.groupBy(*keys).agg(
-        count(call == "delete").alias("n_delete"),
-        count(call == "filtered").alias("n_fail"),
-        F.struct(*[count((call == "nocall") & (base == b)).alias(b) for b in BASES]).alias("nocall"),
-        F.struct(*[count((call == "canonical") & (base == b)).alias(b) for b in BASES]).alias("can"),
-        F.struct(*[count((call == "modified") & (F.col("call.code") == c)).alias(SLOT[c]) for c in SLOT]).alias("mod"),
-        F.struct(*[F.max(F.array_contains("read_codes", c)).alias(SLOT[c]) for c in SLOT]).alias("seen"),
+        F.expr("count_if(call.kind = 'delete') as n_delete"),
+        F.expr("count_if(call.kind = 'filtered') as n_fail"),
+        F.expr(f"named_struct({counts('nocall')}) as nocall"),
+        F.expr(f"named_struct({counts('canonical')}) as can"),
+        F.expr(f"named_struct({mod}) as mod"),
+        F.expr(f"named_struct({seen}) as seen"),
     )
 
 
@@ -50,31 +55,19 @@ def rows_of(tallied: DataFrame, keys: list[str], combine_mods: bool = False) ->
     """For each base with a passing call, a row per observed code of the base (or one row
     for the base): n_other counts its other codes, n_diff the calls and missing calls of
     other bases; n_delete and n_fail are those of the whole position."""
-    add = lambda cols: sum(cols[1:], cols[0])
-    mods = {b: add([F.col(f"mod.{SLOT[c]}") for c in CODES_BY_BASE[b]]) for b in BASES}
-    seen_all = add([mods[b] + F.col(f"can.{b}") + F.col(f"nocall.{b}") for b in BASES])
+    # totals of each base first, so that they are computed once for all codes
+    per_base = [f"can.{b} as can_{b}" for b in BASES] + [f"nocall.{b} as nocall_{b}" for b in BASES]
+    per_base += [" + ".join(f"mod.{SLOT[c]}" for c in CODES_BY_BASE[b]) + f" as mods_{b}" for b in BASES]
+    whole = " + ".join(f"{x}_{b}" for x in ("mods", "can", "nocall") for b in BASES)
+    totals = tallied.selectExpr(*[f"`{k}`" for k in keys], "n_delete", "n_fail", "mod", "seen", *per_base).withColumn("whole", F.expr(whole))
     out = []
     for b in BASES:
-        valid = mods[b] + F.col(f"can.{b}")
         for c in [b] if combine_mods else [x for x in CODES_BY_BASE[b] if x != b]:
-            n = mods[b] if combine_mods else F.col(f"mod.{SLOT[c]}")
-            shown = (valid > 0) & (F.lit(True) if combine_mods else F.col(f"seen.{SLOT[c]}"))
-            out.append(
-                F.when(
-                    shown,
-                    F.struct(
-                        F.lit(b).alias("base"),
-                        F.lit(c).alias("code"),
-                        n.alias("n_mod"),
-                        F.col(f"can.{b}").alias("n_canonical"),
-                        (mods[b] - n).alias("n_other"),
-                        F.col(f"nocall.{b}").alias("n_nocall"),
-                        (seen_all - valid - F.col(f"nocall.{b}")).alias("n_diff"),
-                        valid.alias("valid_coverage"),
-                    ),
-                )
-            )
-    return tallied.select(*keys, "n_delete", "n_fail", F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
+            n = f"mods_{b}" if combine_mods else f"mod.{SLOT[c]}"
+            shown = f"mods_{b} + can_{b} > 0" + ("" if combine_mods else f" and seen.{SLOT[c]}")
+            fields = {"base": f"'{b}'", "code": f"'{c}'", "n_mod": n, "n_canonical": f"can_{b}", "n_other": f"mods_{b} - {n}", "n_nocall": f"nocall_{b}", "n_diff": f"whole - mods_{b} - can_{b} - nocall_{b}", "valid_coverage": f"mods_{b} + can_{b}"}
+            out.append(f"case when {shown} then named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())}) end")
+    return totals.selectExpr(*[f"`{k}`" for k in keys], "n_delete", "n_fail", f"inline(array({', '.join(out)}))").where("base is not null")
 
 
 def pileup(pos: DataFrame, thresholds: P.Thresholds, extra_keys: tuple[str, ...] = (), combine_mods: bool = False, combine_strands: dict[str, int] | None = None) -> DataFrame:

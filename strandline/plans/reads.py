@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
-from strandline.operators import calls, pileup, thresholds
+from strandline.functions.seq import Motif
+from strandline.operators import calls, pileup, reference, thresholds
 from strandline.operators.intervals import points_in
 from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
-from strandline.schema import CODES_BY_BASE
+from strandline.session import table
 
 QS = (0.1, 0.5, 0.9)
 CG = {"C": 1}
@@ -110,6 +111,27 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
     return pos.groupBy("read_id", "flag", "chrom").agg(F.min("ref_pos").alias("ref_start"), (F.max("ref_pos") + 1).alias("ref_end"))
 
 
+def _focus_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Two motifs, as the reference k-mers of the reads show them."""
+    k = table(spark, d, "read_mods").where("chrom is not null and ref_position >= 0 and ref_mod_strand in ('+', '-')").select("chrom", F.col("ref_position").alias("pos"), F.col("ref_mod_strand").alias("strand"), F.col("ref_kmer").alias("k")).distinct()
+    hit = lambda m, o, p: k.where(F.col("k").rlike(p)).select("chrom", F.lit(m).alias("motif"), F.lit(o).alias("offset"), "pos", "strand")
+    return hit("CG", 0, "^..CG.$").unionByName(hit("CGA", 0, "^..CGA$"))
+
+
+def f18_motif_focus(spark: SparkSession, d: str) -> DataFrame:
+    """Counts at the positions of several motifs: a row for each motif of a position."""
+    pos = reference.focus(read_positions(spark, d), _focus_hits(spark, d))
+    bed = pileup.pileup(pos, THRESHOLDS, ("motif_label",))
+    return pileup.to_bedmethyl(bed, name=F.concat_ws(",", "code", "motif_label"))
+
+
+def f31_read_motif(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities at CG of the read itself, and how many are elsewhere."""
+    pos = read_positions(spark, d).where("kind = 'call' and base = 'C'")
+    kept, rest = reference.read_motif(pos, Motif("CG", 0)), reference.read_motif(pos, Motif("CG", 0), keep=False)
+    return kept.withColumn("at_motif", F.lit(True)).unionByName(rest.withColumn("at_motif", F.lit(False))).groupBy("at_motif", "strand").agg(F.count("*").alias("n"))
+
+
 def a35_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     return calls.first_per_read_position(read_positions(spark, d).where(calls.is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos"))))
 
@@ -119,7 +141,7 @@ QUERIES = {
     for f in (
         c1_pileup, c1_pileup_combined_mods, c1_pileup_by_sample, c1_pileup_cg_combined_strands, c1_pileup_edge_filter, c2_pileup_hemi,
         c3_ignore, c3_convert, c3_filter, c5_call_mods, c6_sample_probs, c6_histogram, c7_summary, c8_extract_full, c9_extract_calls,
-        f20_include_exclude, l2_contig_quotas, l3_sample_even, a35_duplicate_names,
+        f20_include_exclude, f18_motif_focus, f31_read_motif, l2_contig_quotas, l3_sample_even, a35_duplicate_names,
     )
 }
 
@@ -198,6 +220,17 @@ select chrom, ref_pos, '.' as strand, pat as pattern, n, can::bigint as n_canoni
     "f20_include_exclude": f"with {MODS_SQL}, {REGIONS_SQL} select {KEYS}, code, p from m where p is not null and {_MAPPED} "
     "and exists (select 1 from regions r where r.chrom = m.chrom and m.ref_pos >= r.start and m.ref_pos < r.\"end\" and (r.strand = '.' or m.strand = '.' or r.strand = m.strand)) "
     "and not exists (select 1 from regions r where r.chrom = m.chrom and m.ref_pos >= r.start and m.ref_pos < r.\"end\" and regexp_matches(r.region_name, '[05]$'))",
+    "f18_motif_focus": _bed_sql(
+        CALLS_SQL.replace("m0 as (select r.read_id", "m0 as (select hm.motif_label, r.read_id").replace(
+            " where r.read_id is not null",
+            " join hm on hm.chrom = r.chrom and hm.pos = r.ref_position and hm.strand = r.ref_mod_strand where r.read_id is not null",
+        ).replace(KEYS, "motif_label, " + KEYS).replace(
+            "m0 as (",
+            "hk as (select distinct chrom, ref_position as pos, ref_mod_strand as strand, ref_kmer as k from read_mods where chrom is not null and ref_position >= 0 and ref_mod_strand in ('+', '-')), "
+            "hm as (select distinct chrom, pos, strand, 'CG,0' as motif_label from hk where regexp_full_match(k, '..CG.') union all select distinct chrom, pos, strand, 'CGA,0' from hk where regexp_full_match(k, '..CGA')),\nm0 as (", 1),
+        "motif_label, " + _K, show="motif_label,",
+    ).replace("select motif_label, chrom, pos as", "select chrom, pos as").replace("pos + 1 as \"chromEnd\", name,", "pos + 1 as \"chromEnd\", name || ',' || motif_label as name,"),
+    "f31_read_motif": f"with {MODS_SQL}, a as (select {KEYS}, max(query_kmer) as qk from m where n > 0 and base = 'C' group by {KEYS}) select coalesce(regexp_full_match(qk, '..CG.'), false) as at_motif, strand, count(*) as n from a group by 1, 2",
     "l2_contig_quotas": f"with {MODS_SQL}, r as (select distinct read_id, flag, chrom from m where {_PRIMARY} and {_MAPPED}), g as (select chrom, count(*) as n from r group by chrom) "
     "select chrom, n, least(n, ceil(n * (1000.0::double / sum(n) over ()) - 1e-9))::bigint as quota from g",
     "l3_sample_even": f"with {MODS_SQL}, r as (select read_id, flag, chrom, min(ref_pos) as ref_start from m where {_PRIMARY} and {_MAPPED} group by all), "

@@ -47,9 +47,11 @@ READ_SCHEMA = T.StructType(
 CALL_TYPE = "read_id string, read_no long, flag int, chrom string, fwd_pos int, ref_pos long, mod_strand string, aln_strand string, base string, probs map<string,double>, inferred boolean, explicit boolean, read_len int"
 
 
+_BASE_MAP = "map(" + ", ".join(f"'{c}', '{b}'" for c, b in BASE_OF_CODE.items()) + ")"
+
+
 def base_of_code(code: Column) -> Column:
-    pairs = [F.lit(x) for kv in BASE_OF_CODE.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), code)
+    return F.try_element_at(F.expr(_BASE_MAP), code)
 
 
 def complement(base: Column) -> Column:

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
-from strandline.operators import calls, pileup
+from strandline.functions.seq import Motif
+from strandline.operators import calls, pileup, reference
+from strandline.operators.motifs import motif_hits
 from strandline.sources import readers, writers
 from strandline.streaming import calls as stream
 from tests.conftest import rows
@@ -85,6 +87,37 @@ def test_partition_key(spark):
     assert [r["k"] for r in df.select(pileup.partition_key(F.col("a"), F.col("b")).alias("k")).collect()] == ["x_missing", "ungrouped", "x_y"]
 
 
+def test_focus_and_reference(spark):
+    pos = calls.positions(read_mods(spark, DATA))
+    ref = spark.createDataFrame([("c1", "A" * 10 + "CGA")], "chrom string, seq string")
+    one = reference.focus(pos, motif_hits(ref, [Motif("CG", 0)]))
+    assert {(r["ref_pos"], r["strand"], r["motif_label"]) for r in one.collect()} == {(10, "+", None), (11, "-", None)}
+    two = reference.focus(pos, motif_hits(ref, [Motif("CG", 0), Motif("CGA", 0)]))
+    assert two.where("ref_pos = 10").count() == 2 * one.where("ref_pos = 10").count()
+    bases = reference.base_positions(ref, ["C"])
+    assert rows(bases, "pos", "strand") == [(10, "+"), (11, "-")]
+    assert rows(reference.base_positions(ref, ["C", "G"]), "pos", "strand", "base") == [(10, "+", "C"), (11, "+", "G")]
+    bed = pileup.to_bedmethyl(pileup.pileup(pos, T)).withColumn("code", F.col("name"))
+    assert {r["name"] for r in reference.at_reference_bases(bed, bases, pos="chromStart").collect()} == {"m", "h"}
+    assert reference.shared_contigs(bed, ref).count() == 1
+    with pytest.raises(ValueError):
+        reference.shared_contigs(bed, ref.unionByName(ref.withColumn("chrom", F.lit("c9"))), "fail")
+    assert reference.assign_codes(["x:C"])["x"] == "C"
+    with pytest.raises(ValueError):
+        reference.assign_codes(["x"])
+    assert reference.read_motif(pos, Motif("CG", 0)).where("base = 'A'").count() == 0
+
+
+def test_adjust(spark):
+    pos = calls.positions(read_mods(spark, DATA)).where("read_id = 'a'")
+    (r,) = calls.adjust(pos, convert=[("h", "m")]).collect()
+    assert dict(r["probs"]) == {"m": 0.875} and r["codes"] == ["m"]
+    (r,) = calls.adjust(pos, ignore=["h"]).collect()
+    assert dict(r["probs"]) == {"m": 0.75 + 0.0625} and r["codes"] == ["m"]
+    assert calls.adjust(pos, edge=(8, 0)).count() == 0 and calls.adjust(pos, edge=(7, 12)).count() == 1
+    assert calls.adjust(pos, thresholds=P.Thresholds(0.9)).count() == 0
+
+
 def test_depth_cap(spark):
     pos = calls.positions(read_mods(spark, DATA))
     assert calls.capped_depth(pos, 2).where("ref_pos = 10 and strand = '+'").count() == 2

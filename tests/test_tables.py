@@ -157,6 +157,17 @@ def test_containing_and_merging(spark):
     wins = spark.createDataFrame([("c", 100, 130), ("c", 0, 600), ("c", 499, 501)], "chrom string, start long, end long")
     assert rows(intervals.containing(reads, wins, 64), "read_id", "start") == [("r1", 100), ("r2", 100)]
     iv = spark.createDataFrame([("c", 5, 9), ("c", 0, 5), ("c", 20, 30), ("c", 22, 25), (None, 1, 2)], "chrom string, start long, end long")
+    rnd = random.Random(8)
+    many = [("c", s := rnd.randrange(3000), s + rnd.choice([1, 5, 5, 40])) for _ in range(300)] * 2
+    df = spark.createDataFrame(many, "chrom string, start long, end long")
+    want = []
+    for c, s, e in sorted(many):
+        if want and s <= want[-1][2]:
+            want[-1] = (c, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+        else:
+            want.append((c, s, e, 1))
+    for size in (7, 100, 10**6):
+        assert rows(intervals.merge(df, size=size), "chrom", "start", "end", "n") == sorted(want, key=repr)
     assert rows(intervals.merge(iv), "chrom", "start", "end", "n") == [("c", 0, 9, 2), ("c", 20, 30, 2)]
 
 
