@@ -33,6 +33,8 @@ _NAME = re.compile(r"([^,]*)(?:,([ACGTUNRYSWKMBDHVX]+),([0-9]{1,18}))?\Z")
 _PERCENT = re.compile(r"[0-9]+\.[0-9]{2}\Z")
 _ANCHOR = re.compile(r'(?m)^"?([^\t\n"]+)"?\t"?[0-9]+"?\t"?[0-9]+"?\t')
 _LINE_START = re.compile(r"\n")
+_QUOTE_STOP = re.compile(r'["\t\n\r]')
+_TAB_STOP, _ANY_STOP = re.compile(r"[\t\n\r]"), re.compile(r"[ \t\n\r]")
 
 RECORD_TYPE = ", ".join(
     f"`{c}` " + ("string" if c in ("chrom", "name", "strand", "color") else "double" if c == "percent_modified" else "bigint") for c in BEDMETHYL_COLUMNS
@@ -87,48 +89,58 @@ class Parser:
                 return
 
     def record(self) -> list:
+        start = self.at
+        end = self.text.find("\n", start)
+        end = len(self.text) if end < 0 else end
+        fields = _plain(self.text[start:end])
+        if fields is None:
+            fields, places = self.fields()
+        else:
+            # without quotes the fields lie next to each other
+            places = None
+        record = self.check(fields, places, start)
+        self.at = end + 1
+        return record
+
+    def fields(self) -> tuple[list[str], list[int]]:
+        """The 18 fields and where they begin, by descent; leaves the end of the line to read."""
         fields, places = [], []
         for k in range(9):
             places.append(self.at)
-            fields.append(self.field(k + 1, "\t"))
+            fields.append(self.field(k + 1, _TAB_STOP))
             self.separator("\t", k + 1)
         places.append(self.at)
-        fields.append(self.field(10, "\t "))
+        fields.append(self.field(10, _ANY_STOP))
         mark = self.text[self.at : self.at + 1]
         if mark not in ("\t", " "):
             raise Fault("too few fields", self.at, 10)
         for k in range(10, 18):
             self.separator(mark, k)
             places.append(self.at)
-            fields.append(self.field(k + 1, "\t" if mark == "\t" else " \t"))
+            fields.append(self.field(k + 1, _TAB_STOP if mark == "\t" else _ANY_STOP))
         if self.text[self.at : self.at + 1] == "\t":
             self.at += 1
         if self.text[self.at : self.at + 1] == "\r":
             self.at += 1
         if self.at < len(self.text) and self.text[self.at] != "\n":
             raise Fault("too many fields", self.at, 18)
-        record = self.check(fields, places)
-        self.at += 1
-        return record
+        return fields, places
 
-    def field(self, number: int, stops: str) -> str:
+    def field(self, number: int, stops: re.Pattern) -> str:
         text, start = self.text, self.at
-        if text[start : start + 1] == '"':
-            stop = start + 1
-            while stop < len(text) and text[stop] not in '"\t\n\r':
-                stop += 1
-            if text[stop : stop + 1] != '"':
+        if text.startswith('"', start):
+            m = _QUOTE_STOP.search(text, start + 1)
+            if not m or m[0] != '"':
                 raise Fault("quote not closed", start, number)
-            self.at = stop + 1
-            follows = text[self.at : self.at + 1]
-            if follows and follows not in stops + "\t\r\n":
+            self.at = m.end()
+            if self.at < len(text) and not stops.match(text, self.at):
                 raise Fault("text after a closing quote", self.at, number)
-            return text[start + 1 : stop]
-        stop = start
-        while stop < len(text) and text[stop] not in stops and text[stop] not in '"\n\r':
-            stop += 1
-        if text[stop : stop + 1] == '"':
-            raise Fault("quote inside a field", stop, number)
+            return text[start + 1 : m.start()]
+        m = stops.search(text, start)
+        stop = m.start() if m else len(text)
+        inner = text.find('"', start, stop)
+        if inner >= 0:
+            raise Fault("quote inside a field", inner, number)
         self.at = stop
         return text[start:stop]
 
@@ -141,18 +153,21 @@ class Parser:
         else:
             raise Fault("wrong separator", self.at, number)
 
-    def check(self, f: list[str], places: list[int]) -> list:
+    def check(self, f: list[str], places: list[int] | None, begin: int) -> list:
+        def place(k: int) -> int:
+            return places[k] if places else begin + sum(map(len, f[:k])) + k
+
         def number(k: int) -> int:
             s = f[k]
             if not (s.isascii() and s.isdigit()):
-                raise Fault("empty value" if not s else "not a number", places[k], k + 1)
-            if int(s) > MAX_LONG:
-                raise Fault("number too large", places[k], k + 1)
+                raise Fault("empty value" if not s else "not a number", place(k), k + 1)
+            if len(s) > 18 and int(s) > MAX_LONG:
+                raise Fault("number too large", place(k), k + 1)
             return int(s)
 
         def demand(ok: bool, reason: str, k: int) -> None:
             if not ok:
-                raise Fault(reason, places[k], k + 1)
+                raise Fault(reason, place(k), k + 1)
 
         demand(f[0] in self.contigs, "unknown chrom", 0)
         start, end = number(1), number(2)
@@ -177,6 +192,22 @@ class Parser:
         return [f[0], start, end, f[3], score, f[5], start, end, f[8], coverage, float(f[10]), *counts]
 
 
+def _plain(line: str) -> list[str] | None:
+    """The fields of a line without quotes that has as many as it should; else None, and
+    the descent finds out what is wrong."""
+    if '"' in line:
+        return None
+    line = line[:-1] if line.endswith("\r") else line
+    line = line[:-1] if line.endswith("\t") else line
+    if "\r" in line:
+        return None
+    fields = line.split("\t")
+    if len(fields) == 10:
+        tail = fields[9].split(" ")
+        return fields[:9] + tail if len(tail) == 9 else None
+    return fields if len(fields) == 18 and " " not in fields[9] else None
+
+
 def parse(text: str, contigs: dict[str, int]) -> tuple[list[list], list[tuple[int, int, str, int]]]:
     """Records, and errors (line from 1, column from 1, reason, field), of a text of any number of lines."""
     records, errors = [], []
