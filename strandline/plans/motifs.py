@@ -154,5 +154,11 @@ ORACLES = {
     "a31_primary_base": "with g as (select mod_code as code, canonical_base as base, count(*) as n from read_mods where mod_code is not null and canonical_base is not null group by all) "
     "select code, arg_max(base, n * 1000 - ascii(base)) as base, round(max(n) / sum(n), 9) as share, count(*) > 1 as conflict from g group by code",
     "f2_tag_roundtrip": f"with {_SEQ}, l as (select doc_id, seq, unnest(range(length(seq))) as i from seqs where length(seq) >= 10) select doc_id, i as fwd_pos, 100 + i as ref_pos, round(((i % 256) + 0.5::double) / 256, 9) as p from l where substring(seq, i + 1, 2) = 'CG'",
+    "c10_repair": f"with {_SEQ}, l as (select doc_id, seq, substring(seq, 21, length(seq) - 30) as part from seqs where length(seq) > 60), "
+    "h as (select doc_id, seq, part, contains(seq, 'CG') as tagged, strpos(seq, part) as at, strpos(substring(seq, strpos(seq, part) + 1), part) as again from l), "
+    "s as (select doc_id, case when not tagged then 'no donor' when again > 0 then 'more than once in the donor' else 'ok' end as state, substring(seq, 21, length(part) + 1) as shown from h) "
+    "select doc_id, state, case when state = 'ok' then (length(shown) - length(replace(shown, 'CG', ''))) // 2 else 0 end as n_calls from s",
+    "c24_check_tags": f"with {_SEQ}, l as (select contains(seq, 'CG') as tagged from seqs where length(seq) >= 10) "
+    "select case when tagged then 'header' else 'error' end as kind, case when tagged then 'C+m?' else 'no tags' end as name, count(*) as n, 100.0::double as percent from l group by tagged",
     "c4_update_tags": f"with {_SEQ}, l as (select doc_id, seq, unnest(range(length(seq))) as i from seqs where length(seq) >= 10 and contains(seq, 'CG')) select substring(seq, i + 1, 2) <> 'CG' as inferred, count(*) as n, count(distinct doc_id) as reads from l where substring(seq, i + 1, 1) = 'C' group by 1",
 }

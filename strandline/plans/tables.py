@@ -149,7 +149,8 @@ def c14_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c14_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return validate.accuracy(validate.balance(_validated(spark, d)))
+    out = validate.accuracy(validate.balance(_validated(spark, d)))
+    return out.select("n", "n_kept", *[F.round(c, 6).alias(c) for c in ("raw_accuracy", "threshold", "filtered_accuracy")])
 
 
 def a10_thresholds(spark: SparkSession, d: str) -> DataFrame:
@@ -264,5 +265,14 @@ t as (select {_POS}, sum(case when k > 1 then floor(mean)::bigint else total end
 s as (select {_POS}, code, sum(case when k > 1 then floor(n::float / total::float * mean)::bigint else n end)::bigint as n from cc join p using (sample_id, chrom, chromstart, strand) group by all),
 x as (select {_POS}, string_agg(code || ':' || n, ',' order by code) as counts from s group by all) select * from t join x using ({_POS})""",
     "w5_windows": f"""with {MODS_SQL}, {_W} select chrom, strand, start, "end", 0 as k, p0 as pos from w2 union all select chrom, strand, start, "end", 1, p1 from w2""",
+    "c14_accuracy": f"""with {CALLS_SQL}, {REGIONS_SQL}, {_TRUTH},
+v as (select truth, top_code as call, top_p as p, row_number() over (partition by truth order by top_p, top_code) as i, count(*) over (partition by truth) as total from tr where kind <> 'nocall'),
+k as (select *, min(total) over () as least from v),
+b as (select truth, call, p from k where total = least or floor((i * (least + 1) - 1) / total::double) > floor(((i - 1) * (least + 1) - 1) / total::double) and floor((i * (least + 1) - 1) / total::double) >= 1 and i * (least + 1) - 1 >= total),
+o as (select p, row_number() over (order by p) - 1 as j, count(*) over () as n from b),
+t as (select (max(case when j = floor((n - 1) * 0.1::double) then p end) * (1 - ((any_value(n) - 1) * 0.1::double - floor((any_value(n) - 1) * 0.1::double)))
+            + max(case when j = ceil((n - 1) * 0.1::double) then p end) * ((any_value(n) - 1) * 0.1::double - floor((any_value(n) - 1) * 0.1::double))) - 1 / 512.0::double as threshold from o)
+select count(*) as n, round(100.0::double * count(*) filter (truth = call) / count(*), 6) as raw_accuracy, round(max(threshold), 6) as threshold, count(*) filter (p > threshold) as n_kept,
+  round(100.0::double * count(*) filter (truth = call and p > threshold) / count(*) filter (p > threshold), 6) as filtered_accuracy from b, t""",
     "c14_confusion": f"with {CALLS_SQL}, {REGIONS_SQL}, {_TRUTH}, g as (select truth, case when kind = 'nocall' then 'no_call' else top_code end as call, count(*) as n from tr group by all) select *, round(100.0::double * n / sum(n) over (partition by truth), 6) as percent from g",
 }
