@@ -68,29 +68,34 @@ def multiselect(counts: DataFrame, targets: DataFrame, leaf: int = LEAF, max_rou
     open_ = materialize(targets.select("k", "rank").distinct().select("k", "rank", F.lit(1).cast("long").alias("seg"), F.col("rank").alias("r"), F.lit(0).cast("long").alias("base")))
     found: list[DataFrame] = []
     done: list[DataFrame] = []
+    by_segment = live.groupBy("k", "seg").agg(F.count("*").alias("entries"))
+    size = by_segment.agg(F.max("entries").alias("most"), F.count("*").alias("segments")).first()
     for _ in range(max_rounds):
-        # how large the open segments are, counted where the rows lie
-        size = live.groupBy("k", "seg").agg(F.count("*").alias("entries")).agg(F.max("entries").alias("most"), F.count("*").alias("segments")).first()
         if not size["segments"] or size["most"] <= leaf:
             break
         proposed = live.mapInPandas(_proposals, "k string, seg long, v double, c long")
-        pivots = materialize(proposed.groupBy("k", "seg").agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("pivot")))
+        pivots = proposed.groupBy("k", "seg").agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("pivot"))
         three = attach(live, pivots, ["k", "seg"], size["segments"])
         side = F.signum(F.col("v") - F.col("pivot"))
-        n = lambda s: F.sum(F.when(side == s, F.col("c")).otherwise(0))
-        tally = three.groupBy("k", "seg").agg(F.first("pivot").alias("pivot"), n(-1).alias("less"), n(0).alias("same"))
+        n = lambda s, what: F.sum(F.when(side == s, F.col("c") if what == "rows" else F.lit(1)).otherwise(0))
+        tally = three.groupBy("k", "seg").agg(
+            F.first("pivot").alias("pivot"), n(-1, "rows").alias("less"), n(0, "rows").alias("same"), n(-1, "entries").alias("entries_left"), n(1, "entries").alias("entries_right")
+        )
         moved = open_.join(tally, ["k", "seg"]).withColumn("to", F.when(F.col("r") <= F.col("less"), 0).when(F.col("r") <= F.col("less") + F.col("same"), 1).otherwise(2))
         moved = materialize(moved)
         done.append(moved)
         found.append(moved.where("to = 1").select("k", "rank", F.col("pivot").alias("value"), (F.col("base") + F.col("less")).alias("below"), F.col("same").alias("equal")))
+        right = F.col("to") == 2
+        # the ranges that go on are as large as this pass has counted
+        entries = F.when(right, F.col("entries_right")).otherwise(F.col("entries_left"))
+        ranges = moved.where("to <> 1").groupBy("k", "seg", "to").agg(F.first(entries).alias("entries"))
+        size = ranges.agg(F.max("entries").alias("most"), F.count("*").alias("segments")).first()
         sides = moved.where("to <> 1").groupBy("k", "seg").agg(F.first("pivot").alias("pivot"), F.max((F.col("to") == 0).cast("int")).alias("left"), F.max((F.col("to") == 2).cast("int")).alias("right"))
         kept = attach(live, sides, ["k", "seg"], size["segments"]).where(((side == -1) & (F.col("left") == 1)) | ((side == 1) & (F.col("right") == 1)))
         newer = materialize(kept.select("k", (F.col("seg") * 2 + (side == 1).cast("long")).alias("seg"), "v", "c"))
-        right = F.col("to") == 2
         passed = F.when(right, F.col("less") + F.col("same")).otherwise(0)
         open_ = moved.where("to <> 1").select("k", "rank", (F.col("seg") * 2 + right.cast("long")).alias("seg"), (F.col("r") - passed).alias("r"), (F.col("base") + passed).alias("base"))
         release(live)
-        release(pivots)
         live = newer
     # what is left is sorted: every segment has at most ``leaf`` rows
     w = Window.partitionBy("k", "seg").orderBy("v")
