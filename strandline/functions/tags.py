@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.seq import aligned_pairs, reverse_complement
@@ -239,6 +239,14 @@ def check_tags(reads: DataFrame) -> DataFrame:
     return cols.mapInPandas(apply, "read_id string, headers array<string>, error string")
 
 
+def tracked(checked: DataFrame, observation: Observation) -> DataFrame:
+    """Counts used, skipped (no tags or no sequence) and failed records while the result
+    of ``check_tags`` is made; ``observation.get`` has them after the first action."""
+    skipped = F.col("error").isin("no tags", "no sequence")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return checked.observe(observation, n(F.col("error").isNull()).alias("used"), n(skipped).alias("skipped"), n(F.col("error").isNotNull() & ~skipped).alias("failed"))
+
+
 def census(checked: DataFrame) -> DataFrame:
     """(kind, name, n, percent): headers of valid records, errors as percentages of all errors."""
     good = checked.where("error is null").select(F.lit("header").alias("kind"), F.explode("headers").alias("name"))

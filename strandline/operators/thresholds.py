@@ -56,6 +56,18 @@ def summary(pos: DataFrame, thresholds: P.Thresholds) -> DataFrame:
     return out.join(reads, "base")
 
 
+def sample_fraction(reads: DataFrame, fraction: float, seed: int = 0, key: str = "read_id") -> DataFrame:
+    """About ``fraction`` of the reads, the same in every run; null keys are left out."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("a fraction is from 0 to 1")
+    return reads.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(fraction * 1_000_000)))
+
+
+def first_reads(reads: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` reads, as they come (the limit is the feature)."""
+    return reads.limit(n)
+
+
 def contig_quotas(reads: DataFrame, n_target: int) -> DataFrame:
     """(chrom, n, quota): reads wanted of each contig, in proportion, rounded up."""
     by = reads.where("chrom is not null").groupBy("chrom").agg(F.count("*").alias("n"))

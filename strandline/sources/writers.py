@@ -62,5 +62,25 @@ def sam_line() -> Column:
     return F.when(F.length(tags) > 0, F.concat_ws("\t", core, tags)).otherwise(core)
 
 
-def write_sam(reads: DataFrame, path: str, force: bool = False) -> None:
+def program_record(header: list[str], name: str, version: str, command: str) -> list[str]:
+    """The header with an @PG record of this program appended to the chain: its id is
+    made unique, and it names the last program before it."""
+    ids = [f[3:] for line in header if line.startswith("@PG") for f in line.split("\t") if f.startswith("ID:")]
+    own, n = name, 1
+    while own in ids:
+        own, n = f"{name}.{n}", n + 1
+    fields = ["@PG", f"ID:{own}", f"PN:{name}", f"VN:{version}", f"CL:{command}", *([f"PP:{ids[-1]}"] if ids else [])]
+    return [*header, "\t".join(fields)]
+
+
+def write_sam(reads: DataFrame, path: str, force: bool = False, header: list[str] | None = None) -> None:
+    """Records as text; ``header`` goes to a part file of its own that sorts first."""
     reads.select(sam_line().alias("value")).write.mode(_mode(force)).text(path)
+    if header:
+        spark = reads.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path, "header.sam")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, force)
+        try:
+            out.write(bytearray("".join(line + "\n" for line in header), "utf-8"))
+        finally:
+            out.close()

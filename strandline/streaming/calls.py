@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from strandline.functions import probs as P
-from strandline.functions.tags import decode_reads
+from strandline.functions.tags import decode_reads, repair
 from strandline.session import usable
 
 
@@ -30,6 +30,11 @@ def decoded(reads: DataFrame) -> DataFrame:
     return decode_reads(reads)
 
 
+def repaired(acceptors: DataFrame, donors: DataFrame) -> DataFrame:
+    """A stream of trimmed reads that get the tags of a static table of whole ones."""
+    return repair(donors, acceptors)
+
+
 def pass_rows(rows: DataFrame, thresholds: P.Thresholds | None, prob: str = "mod_qual", code: str = "mod_code", base: str = "canonical_base") -> DataFrame:
     """Rows of (position, code) with ``passes``: whether the probability reaches the code's threshold."""
     if thresholds is None:

@@ -172,6 +172,27 @@ def test_sam_round_trip(spark, tmp_path):
     assert rows(readers.sam(spark, str(tmp_path / "out")), *keep) == rows(reads, *keep)
 
 
+def test_program_record(spark, tmp_path):
+    once = writers.program_record(["@HD\tVN:1.6"], "strandline", "1", "x y")
+    twice = writers.program_record(once, "strandline", "1", "z")
+    assert once[-1] == "@PG\tID:strandline\tPN:strandline\tVN:1\tCL:x y"
+    assert twice[-1] == "@PG\tID:strandline.1\tPN:strandline\tVN:1\tCL:z\tPP:strandline"
+    (tmp_path / "x.sam").write_text("a\t0\tc1\t101\t60\t4M\t*\t0\t0\tACCG\tIIII\tMM:Z:C+m?,0;\tML:B:C,200\n")
+    reads = readers.sam(spark, str(tmp_path / "x.sam"))
+    writers.write_sam(reads, str(tmp_path / "out"), header=twice)
+    assert readers.sam(spark, str(tmp_path / "out")).count() == 1
+    assert spark.read.text(str(tmp_path / "out")).where("startswith(value, '@')").count() == 3
+
+
+def test_stream_repair(spark, tmp_path):
+    schema = "read_id string, flag int, chrom string, pos long, cigar string, seq string, mm string, ml array<int>, mn int"
+    donors = spark.createDataFrame([("a", 0, None, None, None, "TTACCGCCGTACGG", "C+m?,0,1;", [200, 10], 14)], schema)
+    part = spark.createDataFrame([("a", 0, None, None, None, "ACCGCCGT", None, None, None), ("x", 0, None, None, None, "AC", None, None, None)], schema)
+    part.write.parquet(str(tmp_path / "in"))
+    stream.run_to_end(stream.repaired(stream.read_rows(spark, str(tmp_path / "in")), donors), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "read_id", "mm", "error") == [("a", "C+m?,0,1;", None), ("x", None, "no donor")]
+
+
 def test_streams(spark, tmp_path):
     df = read_mods(spark, DATA).withColumn("loaded_at", F.expr("timestamp'2031-03-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, ref_position)"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -229,6 +229,15 @@ def test_quotas(spark):
     assert rows(got) == rows(thresholds.sample_even(reads.repartition(7), 100, bins=5))
 
 
+def test_fraction(spark):
+    reads = spark.createDataFrame([(f"r{i}",) for i in range(2000)] + [(None,)], "read_id string")
+    some = thresholds.sample_fraction(reads, 0.2)
+    assert rows(some) == rows(thresholds.sample_fraction(reads.repartition(5), 0.2)) and 330 < some.count() < 470
+    assert set(rows(some)) <= set(rows(thresholds.sample_fraction(reads, 0.5))) and thresholds.first_reads(reads, 7).count() == 7
+    with pytest.raises(ValueError):
+        thresholds.sample_fraction(reads, 2)
+
+
 def test_pool_balanced(spark):
     data = [("s1", "c", 1, "+", {"m": 5}, 10), ("s2", "c", 1, "+", {"m": 30, "h": 2}, 40), ("s1", "c", 2, "+", {"m": 3}, 7)]
     df = spark.createDataFrame(data, "sample_id string, chrom string, chromstart long, strand string, counts map<string,bigint>, total long")

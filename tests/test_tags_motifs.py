@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from strandline.functions import seq as S
@@ -80,6 +81,9 @@ def test_reads(spark):
     assert got == [("a", 1, -1, "+"), ("a", 4, 102, "+"), ("b", 3, 106, "-"), ("c", 1, -1, ".")]
     pos = tags.to_positions(tags.decode_reads(df))
     assert {r["strand"] for r in pos.where("read_id = 'b'").collect()} == {"-"} or {r["strand"] for r in pos.where("read_id = 'b'").collect()} == {"-", "+"}
+    seen = Observation()
+    tags.tracked(tags.check_tags(df), seen).collect()
+    assert seen.get == {"used": 3, "skipped": 2, "failed": 1}
     census = {(r["kind"], r["name"]): r["n"] for r in tags.census(tags.check_tags(df)).collect()}
     assert census[("header", "C+m?")] == 3 and census[("error", "no tags")] == 1 and census[("error", "skips beyond the end of the read")] == 1 and census[("error", "no sequence")] == 1
 
