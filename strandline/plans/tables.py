@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import stats
 from strandline.operators import calls, dmr, entropy, intervals, tables, validate
 from strandline.operators.thresholds import estimate_thresholds, summary
-from strandline.plans.binding import CALLS_SQL, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
+from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
 from strandline.schema import BASE_OF_CODE, COUNT_COLUMNS
 from strandline.session import table
 
@@ -127,11 +127,15 @@ def w5_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def c19_entropy_windows(spark: SparkSession, d: str) -> DataFrame:
     called, wins, extents = _cg_windows(spark, d)
-    return entropy.window_entropy(entropy.window_patterns(called, wins, extents, WINDOW_N), WINDOW_N, 1)
+    out = entropy.window_entropy(entropy.window_patterns(called, wins, extents, WINDOW_N), WINDOW_N, 1)
+    return out.withColumn("entropy", F.round("entropy", 9) + 0.0)
 
 
 def c19_entropy_regions(spark: SparkSession, d: str) -> DataFrame:
-    return entropy.region_entropy(c19_entropy_windows(spark, d), regions(spark, d))
+    out = entropy.region_entropy(c19_entropy_windows(spark, d), regions(spark, d))
+    for c in ("mean_entropy", "median_entropy", "mean_num_reads"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +237,29 @@ w2 as (select chrom, strand, pos as start, nxt + 2 as "end", pos as p0, nxt as p
 _TRUTH = f"""tr as (select b.*, case when regexp_extract(r.region_name, '(\\d+)$', 1)::int % 2 = 0 then 'm' else '-' end as truth from c b join regions r on r.chrom = b.chrom and b.ref_pos >= r.start and b.ref_pos < r."end"
   and (r.strand = '.' or b.strand = '.' or r.strand = b.strand) where b.base = 'C')"""
 
+_ENTROPY = f"""{CALLS_SQL}, {_W},
+ext as (select read_id, flag, chrom, min(ref_pos) as rs, max(ref_pos) + 2 as re from m where (flag & 3328) = 0 and (flag & 4) = 0 and chrom is not null and ref_pos >= 0 and strand in ('+', '-') group by all),
+ck as (select distinct {KEYS} from m where base = 'C' and substring(ref_kmer, 3, 2) = 'CG'),
+cl as (select read_id, flag, chrom, strand, ref_pos as pos, case when kind = 'modified' then call_code else '-' end as st from c semi join ck on {" and ".join(f"c.{k} is not distinct from ck.{k}" for k in KEYS.split(", "))} where kind in ('modified', 'canonical') and base = 'C' and (flag & 3332) = 0),
+h as (select chrom, strand, start, "end", read_id, flag, coalesce(max(st) filter (pos = p0), '*') as s0, coalesce(max(st) filter (pos = p1), '*') as s1
+      from w2 join cl using (chrom, strand) join ext using (read_id, flag, chrom) where (pos = p0 or pos = p1) and rs <= start and re >= "end" group by all),
+pat as (select chrom, strand, start, "end", s0, s1, count(*) as n from h group by all),
+c0s as (select distinct chrom, strand, start, s0 as a from pat where s0 <> '*'), c1s as (select distinct chrom, strand, start, s1 as b from pat where s1 <> '*'),
+fl as (select distinct chrom, strand, start, a, b from pat join c0s using (chrom, strand, start) join c1s using (chrom, strand, start) where (s0 = '*' or s0 = a) and (s1 = '*' or s1 = b)),
+mt as (select *, n / count(*) over (partition by chrom, strand, start, s0, s1)::double as part from pat join fl using (chrom, strand, start) where (s0 = '*' or s0 = a) and (s1 = '*' or s1 = b)),
+ps as (select chrom, strand, start, a, b, sum(part) as w from mt group by chrom, strand, start, a, b),
+pr as (select *, w / sum(w) over (partition by chrom, strand, start) as p from ps),
+en as (select chrom, strand, start, -sum(p * log2(p)) / {WINDOW_N} as entropy from pr group by chrom, strand, start),
+nr as (select chrom, strand, start, "end", sum(n)::bigint as num_reads from pat group by all),
+ew as (select chrom, start, "end", strand, round(entropy, 9) + 0.0 as entropy, num_reads from nr left join en using (chrom, strand, start))"""
+
 ORACLES = {
+    "c19_entropy_windows": f"with {_ENTROPY} select * from ew",
+    "c19_entropy_regions": f"""with {_ENTROPY}, {REGIONS_SQL}
+select r.chrom, r.start, r."end", r.region_name, ew.strand, round(avg(entropy), 6) as mean_entropy, round(quantile_cont(entropy, 0.5), 6) as median_entropy, min(entropy) as min_entropy, max(entropy) as max_entropy,
+ round(avg(num_reads) filter (entropy is not null), 6) as mean_num_reads, min(num_reads) filter (entropy is not null) as min_num_reads, max(num_reads) filter (entropy is not null) as max_num_reads,
+ count(entropy) as successful_window_count, count(*) filter (entropy is null) as failed_window_count
+from ew join regions r on r.chrom = ew.chrom and ew.start >= r.start and ew.start < r."end" where ew."end" <= r."end" group by r.chrom, r.start, r."end", r.region_name, ew.strand""",
     "c20_localize": f"""with {REGIONS_SQL}, sl as (select r.chrom, (r.start + r."end") // 2 as mid, strand, size from regions r join contigs using (chrom)),
 r as (select chrom, mid, strand, greatest(0, mid - {LOCAL_WINDOW} - 1) as start, least(mid + {LOCAL_WINDOW}, size) as "end" from sl)
 select {_CODE} as code, mid - chromstart as "offset", sum(count_modified)::bigint as n_mod, sum(valid_coverage)::bigint as n_valid, round(100.0::double * sum(count_modified) / nullif(sum(valid_coverage), 0), 2) as percent
