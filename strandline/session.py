@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a Spark context, so that their
+    Python workers have it wherever they run."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_strandline_shipped", False) or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="strandline-package-")) / "strandline.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._strandline_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder; the package is with the executors from then on."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
