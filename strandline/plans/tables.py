@@ -10,7 +10,7 @@ from strandline.operators import calls, dmr, entropy, intervals, tables, validat
 from strandline.operators.thresholds import estimate_thresholds, summary
 from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
 from strandline.schema import BASE_OF_CODE, COUNT_COLUMNS
-from strandline.session import table
+from strandline.session import materialize, table
 
 STAT_CODES = ["m", "h", "a"]
 LOCAL_WINDOW = 50_000
@@ -80,14 +80,23 @@ def c12_sites(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(dmr.sites(a, b)).select(*dmr.POSITION, dmr.counts_text(F.col("a_counts")).alias("a_counts"), "a_total", dmr.counts_text(F.col("b_counts")).alias("b_counts"), "b_total", "score", "effect_size")
 
 
+def _summed_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Counts of exact positions, added up in cells of 10 kb so that samples meet."""
+    counts = _counts(spark, d).where(F.col("sample_id").isin(A, B))
+    cells = counts.withColumn("chromstart", F.expr("(chromstart div 10000) * 10000"))
+    pooled = materialize(dmr.pool(cells, ["sample_id", *dmr.POSITION]))
+    side = lambda s: pooled.where(F.col("sample_id") == s).drop("sample_id")
+    return side(A), side(B)
+
+
 def c12_site_p_values(spark: SparkSession, d: str) -> DataFrame:
-    a, b, _ = _sides(spark, d)
+    a, b = _summed_sides(spark, d)
     scored = dmr.sites(a, b)
     return dmr.with_p_values(scored, dmr.coverage_cap(a), dmr.coverage_cap(b)).select(*dmr.POSITION, "score", "effect_size", "map_p_value", "capped_effect_size")
 
 
 def _site_scores(spark: SparkSession, d: str) -> DataFrame:
-    a, b, _ = _sides(spark, d)
+    a, b = _summed_sides(spark, d)
     # one site per position: both strands together
     keys = ["chrom", "chromstart"]
     both = dmr.sites(a, b).groupBy(*keys).agg(F.lit(".").alias("strand"), *[F.sum(c).alias(c) for c in ("a_mod", "a_total", "b_mod", "b_total")])
