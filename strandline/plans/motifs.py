@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,11 @@ from strandline.functions.seq import Motif
 from strandline.operators import motifs, pileup
 from strandline.plans.binding import THRESHOLDS, read_positions
 from strandline.schema import BASE_OF_CODE
-from strandline.session import table
+from strandline.session import materialize, release, table
 
 MOTIFS = [Motif("CG", 0), Motif("DRACH", 2), Motif("CHH", 0), Motif("GATC", 1)]
 TESTED = [("CG", 0, "m"), ("CHH", 0, "m"), ("CHG", 0, "h"), ("DRACH", 2, "a"), ("C", 0, "m")]
+SEARCHES = 6  # at a time
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -49,22 +53,36 @@ def m1_fixed_seeds(spark: SparkSession, d: str) -> DataFrame:
     return motifs.fixed_seeds(_levels(spark, d), 2, (1, 2), 0.5).withColumn("log_odds", F.round("log_odds", 6))
 
 
-def _search(spark: SparkSession, d: str, code: str = "m") -> motifs.Search:
-    return motifs.Search(_levels(spark, d).where(F.col("code") == code), 2, 5, BASE_OF_CODE[code], min_sites=20, min_frac=0.5, min_log_odds=0.3, seed_log_odds=0.5)
+def _search(levels: DataFrame, code: str) -> motifs.Search:
+    return motifs.Search(levels.where(F.col("code") == code), 2, 5, BASE_OF_CODE[code], min_sites=20, min_frac=0.5, min_log_odds=0.3, seed_log_odds=0.5)
+
+
+def _found(spark: SparkSession, d: str, find: Callable[[motifs.Search], list[motifs.Masks]]) -> DataFrame:
+    """What ``find`` finds for each code of the k-mer table, several codes at a time:
+    a search is a chain of short jobs."""
+    levels = materialize(_levels(spark, d))
+    codes = sorted(r["code"] for r in levels.select("code").distinct().collect())
 
+    def rows(code: str) -> list[tuple]:
+        s = _search(levels, code)
+        out = [(code, *r) for r in s.table(find(s))]
+        release(s.kmers)
+        return out
 
-def _found(spark: SparkSession, s: motifs.Search, found) -> DataFrame:
-    return spark.createDataFrame([("m", *r) for r in s.table(found)], "code string, motif string, offset int, high long, low long, frac double")
+    with ThreadPoolExecutor(SEARCHES) as pool:
+        found = [r for part in pool.map(rows, codes) for r in part]
+    release(levels)
+    return spark.createDataFrame(found, "code string, motif string, offset int, high long, low long, frac double")
 
 
 def c16_search(spark: SparkSession, d: str) -> DataFrame:
-    s = _search(spark, d)
-    return _found(spark, s, s.run((1, 1)))
+    return _found(spark, d, lambda s: s.run((1, 1)))
 
 
 def c17_refine(spark: SparkSession, d: str) -> DataFrame:
-    s = _search(spark, d)
-    return _found(spark, s, motifs.merge([s.refine(motifs.masks_of(m, o)) for m, o in (("CG", 0), ("CH", 0))]))
+    """The focus base of each code before G and before H, refined."""
+    starts = lambda s: [motifs.masks_of(s.base + after, 0) for after in "GH"]
+    return _found(spark, d, lambda s: motifs.merge([s.refine(m) for m in starts(s)]))
 
 
 def a31_primary_base(spark: SparkSession, d: str) -> DataFrame:
