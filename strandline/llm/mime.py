@@ -27,8 +27,6 @@ _BREAK = re.compile(r"(?i)<(?:br|td|th|img)\b[^>]*>|</t[dh]\s*>")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]+")
 
-MAX_DEPTH = 20
-
 
 def _decode_bytes(data: bytes, charset: str) -> str:
     """Declared character set first; then UTF-8; then Windows-1252."""
@@ -67,42 +65,48 @@ def _tail(clean: str) -> str:
     return rest + "=" * (4 - len(rest)) if len(rest) > 1 else ""
 
 
-def text_parts(raw: str | None, depth: int = 0) -> list[tuple[bool, str]]:
-    """(is HTML, decoded text) of each text part, in order."""
-    if not raw:
-        return []
-    if "\r" in raw:
-        raw = raw.replace("\r\n", "\n").replace("\r", "\n")
-    if raw.startswith("\n"):
-        head, body = "", raw[1:]
-    elif depth or _HEADER_LINE.match(raw) or raw.startswith("From "):
-        head, _, body = raw.partition("\n\n")
-    else:
-        head, body = "", raw
-    kind, encoding = "text/plain", ""
-    for m in _HEADER.finditer(head):
-        if m[1][0] in "tT" and m[1].lower() == "type":
-            kind = m[2]
+def text_parts(raw: str | None) -> list[tuple[bool, str]]:
+    """(is HTML, decoded text) of each text part, in order, however deep it lies."""
+    out: list[tuple[bool, str]] = []
+    left = [(raw, True)] if raw else []
+    while left:
+        entity, top = left.pop()
+        if not entity:
+            continue
+        if "\r" in entity:
+            entity = entity.replace("\r\n", "\n").replace("\r", "\n")
+        if entity.startswith("\n"):
+            head, body = "", entity[1:]
+        elif not top or _HEADER_LINE.match(entity) or entity.startswith("From "):
+            head, _, body = entity.partition("\n\n")
         else:
-            encoding = m[2].strip().lower()
-    low = kind.lstrip()[:24].lower()
-    if low.startswith("multipart/"):
-        b = _BOUNDARY.search(kind)
-        if not b or depth > MAX_DEPTH:
-            return [(False, body)]
-        out = []
-        for piece in ("\n" + body).split("\n--" + (b[1] or b[2]))[1:]:
-            if piece.startswith("--"):
-                break
-            # the delimiter's own line ends here; what follows is headers, or a blank line and text
-            out += text_parts(piece[piece.find("\n") + 1 :], depth + 1) if "\n" in piece else []
-        return out
-    if low.startswith("message/"):
-        return text_parts(body, depth + 1) if depth <= MAX_DEPTH else []
-    if not low.startswith("text/"):
-        return []
-    charset = _CHARSET.search(kind)
-    return [(low.startswith("text/html"), _decode(body, encoding, charset[1] if charset else "utf-8"))]
+            head, body = "", entity
+        kind, encoding = "text/plain", ""
+        for m in _HEADER.finditer(head):
+            if m[1][0] in "tT" and m[1].lower() == "type":
+                kind = m[2]
+            else:
+                encoding = m[2].strip().lower()
+        low = kind.lstrip()[:24].lower()
+        if low.startswith("multipart/"):
+            b = _BOUNDARY.search(kind)
+            if not b:
+                out.append((False, body))
+                continue
+            pieces = []
+            for piece in ("\n" + body).split("\n--" + (b[1] or b[2]))[1:]:
+                if piece.startswith("--"):
+                    break
+                # the delimiter's own line ends here; what follows is headers, or a blank line and text
+                if "\n" in piece:
+                    pieces.append((piece[piece.find("\n") + 1 :], False))
+            left += reversed(pieces)
+        elif low.startswith("message/"):
+            left.append((body, False))
+        elif low.startswith("text/"):
+            charset = _CHARSET.search(kind)
+            out.append((low.startswith("text/html"), _decode(body, encoding, charset[1] if charset else "utf-8")))
+    return out
 
 
 def html_text(markup: str) -> str:

@@ -27,13 +27,16 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_daily_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable summary of each call_code and batch_day."""
-    return select.summaries(table(spark, d, "read_calls"), ["call_code", "batch_day"], "call_prob", POINTS, 0, 1)
+    """The mergeable summary of each call_code, sample_id and batch_day."""
+    return select.summaries(table(spark, d, "read_calls"), ["call_code", "sample_id", "batch_day"], "call_prob", POINTS, 0, 1)
 
 
 def p1_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each call_code put together from the daily summaries alone."""
-    return select.combine(p1_daily_summaries(spark, d), ["call_code"], list(QUANTILES), ["batch_day"])
+    """Percentiles of each call_code, with and without sample_id, put together from the
+    daily summaries alone."""
+    daily = p1_daily_summaries(spark, d)
+    whole = select.combine(daily, ["call_code"], list(QUANTILES), ["sample_id", "batch_day"]).withColumn("sample_id", F.lit(None).cast("string")).withColumn("level", F.lit("code"))
+    return whole.unionByName(select.combine(daily, ["call_code", "sample_id"], list(QUANTILES), ["batch_day"]).withColumn("level", F.lit("code_sample")))
 
 
 def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -48,9 +51,10 @@ def p4_sampled_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sampled_calls(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of read_calls that belong to the sample."""
+    """The rows of read_calls that belong to the sample; a probability that is no number is null."""
     rows = sample.sample_rows(table(spark, d, "read_calls"), "read_id", SAMPLE_RATE)
-    return rows.select("sample_key", "forward_read_position", "chrom", "ref_position", "call_code", F.col("call_prob").cast("double").alias("call_prob"), "sample_id", "batch_day")
+    prob = F.when(~F.isnan("call_prob"), F.col("call_prob").cast("double"))
+    return rows.select("sample_key", "forward_read_position", "chrom", "ref_position", "call_code", prob.alias("call_prob"), "sample_id", "batch_day")
 
 
 def p4_growth(spark: SparkSession, d: str) -> DataFrame:
@@ -77,9 +81,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
 
 
+_networks: dict[tuple[str, str], langid.ByteConvNet] = {}
+
+
 def _network(spark: SparkSession, d: str):
+    """The network of a corpus is trained once in an application."""
     docs = table(spark, d, "documents")
-    return docs, langid.train(*langid.training_sample(docs))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _networks:
+        _networks[key] = langid.train(*langid.training_sample(docs))
+    return docs, _networks[key]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,17 +134,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _USABLE = "{0} is not null and not isnan({0}) and {0} between 0 and 1"
 _QS = ", ".join(f"({q}::double)" for q in QUANTILES)
+_DAY = "call_code, sample_id, batch_day"
+_SAME_DAY = " and ".join(f"v.{c} is not distinct from w.{c}" for c in _DAY.split(", "))
 _SUMMARY = f"""
-v as (select call_code, batch_day, call_prob::double as value,
-             row_number() over (partition by call_code, batch_day order by call_prob) as rank,
-             count(*) over (partition by call_code, batch_day) as n
+v as (select {_DAY}, call_prob::double as value,
+             row_number() over (partition by {_DAY} order by call_prob) as rank,
+             count(*) over (partition by {_DAY}) as n
       from read_calls where {_USABLE.format("call_prob")}),
-wanted as (select distinct call_code, batch_day, n, greatest(1, ceil(i * n / {POINTS}.0 - 1e-9))::bigint as rank
-           from (select distinct call_code, batch_day, n from v), (select unnest(range({POINTS} + 1)) as i)),
-s as (select v.call_code, v.batch_day, v.n, v.rank, v.value,
-             v.rank - coalesce(lag(v.rank) over (partition by v.call_code, v.batch_day order by v.rank), 0) as weight
-      from v join wanted w on v.call_code is not distinct from w.call_code
-       and v.batch_day is not distinct from w.batch_day and v.rank = w.rank)"""
+wanted as (select distinct {_DAY}, n, greatest(1, ceil(i * n / {POINTS}.0 - 1e-9))::bigint as rank
+           from (select distinct {_DAY}, n from v), (select unnest(range({POINTS} + 1)) as i)),
+s as (select v.call_code, v.sample_id, v.batch_day, v.n, v.rank, v.value,
+             v.rank - coalesce(lag(v.rank) over (partition by v.call_code, v.sample_id, v.batch_day order by v.rank), 0) as weight
+      from v join wanted w on {_SAME_DAY} and v.rank = w.rank)"""
+
+
+def _combined_sql(level: str, sample_id: str) -> str:
+    """Daily summaries put together; sample_id is the column, or null for all samples."""
+    return f"""
+select '{level}' as level, t.call_code, t.sample_id, t.parts, t.n, q, greatest(1, ceil(q * t.n - 1e-9))::bigint as rank, min(p.value) as value, t.rank_error
+from (select call_code, {sample_id} as sample_id, sum(n)::bigint as n, sum(gap)::bigint as rank_error, count(*) as parts
+      from (select {_DAY}, max(n) as n, max(weight) - 1 as gap from s group by all) group by 1, 2) t, (values {_QS}) as x(q),
+     (select call_code, {sample_id} as sample_id, value, sum(sum(weight)) over (partition by call_code, {sample_id} order by value) as upto from s group by 1, 2, 3) p
+where t.call_code is not distinct from p.call_code and t.sample_id is not distinct from p.sample_id and p.upto >= greatest(1, ceil(q * t.n - 1e-9))
+group by all"""
+
+
 _KEY = "lower(trim(read_id))"
 _IN = f"substring(md5('{sample.SALT}/' || {_KEY}), 1, 13) < '{int(SAMPLE_RATE * 16**13):013x}' and {_KEY} <> ''"
 
@@ -149,15 +174,7 @@ r as (select *, row_number() over (partition by level, call_code, sample_id, bat
 select level, call_code, sample_id, batch_day, n, q, rank, value, 0::bigint as rank_error
 from r, (values {_QS}) as t(q) where rank = greatest(1, ceil(q * n - 1e-9))::bigint""",
     "p1_daily_summaries": f"with {_SUMMARY} select * from s",
-    "p1_combined": f"""
-with {_SUMMARY},
-own as (select call_code, batch_day, max(n) as n, max(weight) - 1 as gap from s group by all),
-total as (select call_code, sum(n)::bigint as n, sum(gap)::bigint as rank_error, count(*) as parts from own group by all),
-p as (select call_code, value, sum(sum(weight)) over (partition by call_code order by value) as upto from s group by call_code, value)
-select t.call_code, t.parts, t.n, q, greatest(1, ceil(q * t.n - 1e-9))::bigint as rank, min(p.value) as value, t.rank_error
-from total t, (values {_QS}) as x(q), p
-where t.call_code is not distinct from p.call_code and p.upto >= greatest(1, ceil(q * t.n - 1e-9))
-group by all""",
+    "p1_combined": f"with {_SUMMARY} {_combined_sql('code', 'null::varchar')} union all {_combined_sql('code_sample', 'sample_id')}",
     "p2_cutoffs": f"""
 with g as (select k.canonical_base, k.mod_code, k.keep_fraction, r.mod_qual::double as v, r.chrom is not null or r.flag is not null as there,
                   {_USABLE.format("r.mod_qual")} as ok
@@ -177,7 +194,7 @@ select sample_key, min(batch_day) as first_day, max(batch_day) as last_day, sum(
        ('0x' || substring(md5('{sample.SALT}/' || sample_key), 1, 13))::bigint / 16.0::double ** 13 as place
 from a group by sample_key""",
     "p4_sampled_calls": f"""
-select {_KEY} as sample_key, forward_read_position, chrom, ref_position, call_code, call_prob::double as call_prob, sample_id, batch_day
+select {_KEY} as sample_key, forward_read_position, chrom, ref_position, call_code, case when not isnan(call_prob) then call_prob::double end as call_prob, sample_id, batch_day
 from read_calls where {_IN}""",
     "p4_growth": f"""
 with a as (select {_KEY} as k, min(batch_day) as day from (select read_id, batch_day from read_calls union all select read_id, batch_day from read_mods)

@@ -26,9 +26,9 @@ def good(p):
     return p is not None and 0 <= p <= 1
 
 
-@pytest.mark.parametrize("leaf", [1, 64])
-def test_percentiles_are_exact(spark, leaf, monkeypatch):
-    monkeypatch.setattr(select.multiselect, "__defaults__", (leaf, 60))
+@pytest.mark.parametrize("depth", [1, 5])
+def test_percentiles_are_exact(spark, depth, monkeypatch):
+    monkeypatch.setattr(select.multiselect, "__defaults__", (depth,))
     df, data = calls(spark)
     qs = [0.0, 0.1, 0.5, 0.999, 1.0]
     got = {(r["call_code"], r["q"]): (r["n"], r["rank"], r["value"]) for r in select.percentiles(df.repartition(5), ["call_code"], "call_prob", qs, low=0, high=1).collect()}
@@ -59,13 +59,34 @@ def test_empty_and_unusable(spark):
     assert select.combine(s, ["call_code"], [0.5], ["batch_day"]).count() == 0
 
 
-def test_salted_path(spark, monkeypatch):
-    import strandline.session
-
+def test_slices_of_groups(spark):
+    """Groups beyond the number handled at a time give the same."""
     df, _ = calls(spark, 3000)
-    want = rows(select.percentiles(df, ["call_code"], "call_prob", [0.25, 0.5]), "call_code", "q", "value")
-    monkeypatch.setattr(strandline.session, "BROADCAST_ROWS", 0)
-    assert rows(select.percentiles(df, ["call_code"], "call_prob", [0.25, 0.5]), "call_code", "q", "value") == want
+    levels = {"code": ["call_code"], "both": ["call_code", "batch_day"]}
+    args = (df, ["call_code", "batch_day"], "call_prob", [0.25, 0.5], levels)
+    order = ("level", "call_code", "batch_day", "q", "n", "value")
+    want = rows(select.percentiles(*args), *order)
+    assert len(want) == 2 * (4 + 16)
+    assert rows(select.percentiles(*args, at_once=7), *order) == want
+    s = rows(select.summaries(df, ["call_code"], "call_prob", 8), "call_code", "rank", "value", "weight")
+    assert rows(select.summaries(df, ["call_code"], "call_prob", 8, at_once=1), "call_code", "rank", "value", "weight") == s
+
+
+def test_multiselect_against_sorting(spark):
+    import pandas as pd
+
+    rnd = random.Random(9)
+    data = [(f"g{rnd.randrange(4)}", float(rnd.choice([rnd.randrange(5), rnd.gauss(0, 1e6), -0.25]))) for _ in range(4000)]
+    counts = spark.createDataFrame(data, "k string, v double").groupBy("k", "v").agg(F.count("*").alias("c")).repartition(6)
+    own = {k: sorted(v for g, v in data if g == k) for k in {g for g, _ in data}}
+    wanted = pd.DataFrame([(k, r) for k, v in own.items() for r in {1, len(v), *rnd.sample(range(1, len(v) + 1), 25)}], columns=["k", "rank"])
+    for depth in (1, 2, 5):
+        got = select.multiselect(counts, ["k"], wanted, depth)
+        assert len(got) == len(wanted)
+        for k, rank, value, below, equal in got.itertuples(index=False):
+            assert value == own[k][rank - 1] and below == sum(x < value for x in own[k]) and equal == own[k].count(value)
+    with pytest.raises(ValueError):
+        select.multiselect(counts, ["k"], pd.DataFrame({"k": ["none"], "rank": [1]}))
 
 
 def best_cutoff(values, f):
