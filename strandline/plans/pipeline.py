@@ -13,8 +13,8 @@ from strandline.sources import lines
 HEAVY_SHARE = 0.04
 
 
-def _parsed(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
-    return lines.parse_lines(table(spark, d, "bedmethyl_lines"), table(spark, d, "contigs"), keep)
+def _parsed(spark: SparkSession, d: str, keep: list[str], only_errors: bool = True) -> DataFrame:
+    return lines.parse_lines(table(spark, d, "bedmethyl_lines"), table(spark, d, "contigs"), keep, file="file_name", number="line_no", only_errors=only_errors)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p3_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     """The valid records, typed."""
-    return lines.records(_parsed(spark, d, ["line_id"]))
+    return lines.records(_parsed(spark, d, ["line_id"], only_errors=False))
 
 
 # what is totalled per chrom: name, SQL expression

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,15 +65,24 @@ def release(df: DataFrame | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows up to which ``attach`` broadcasts its small side.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which ``attach`` broadcasts its small side.
+BROADCAST_BYTES = 32 << 20
 
 
-def attach(rows: DataFrame, small: DataFrame, on: list[str], n_small: int, salts: int = 64, how: str = "inner") -> DataFrame:
-    """Joins ``small`` (unique in ``on``, ``n_small`` rows) to ``rows``.  It is broadcast
-    up to ``BROADCAST_ROWS`` rows; beyond, both sides are shuffled with a salt, so that
-    a key holding most of ``rows`` is spread over ``salts`` tasks."""
-    if n_small <= BROADCAST_ROWS:
+def size_in_memory(df: DataFrame) -> int:
+    """About how many bytes the rows take: texts as long as they are, other values as wide
+    as their type.  One pass, so ``df`` should be a written table."""
+    text = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    other = sum(16 for f in df.schema if not isinstance(f.dataType, T.StringType))
+    row = df.agg(F.count("*").alias("n"), sum(text, F.lit(0)).alias("b")).first()
+    return row["n"] * (other + 24 * len(text)) + row["b"]
+
+
+def attach(rows: DataFrame, small: DataFrame, on: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """Joins ``small`` (a written table, unique in ``on``) to ``rows``.  It is broadcast up
+    to ``BROADCAST_BYTES``, measured first; beyond, both sides are shuffled with a salt, so
+    that a key holding most of ``rows`` is spread over ``salts`` tasks."""
+    if size_in_memory(small) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(small), on, how)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

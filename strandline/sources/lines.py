@@ -1,10 +1,12 @@
 """Pileup text with damaged lines: typed records and located syntax errors.
 
-A recursive-descent parser reads records field by field.  On an error it notes where and
-why, and resumes at the next record-start anchor: the start of a line that begins like a
-record (chrom of the catalogue, tab, digits, tab, digits, tab), or else of any line.  A
-quote that is not closed therefore spoils its own record only, however many lines a
-quoted field would have swallowed.
+A recursive-descent parser reads every record field by field.  On an error it notes where
+and why.  A quote that is not closed swallows what follows, line ends included, until the
+parser finds a validated anchor: a line start at which a record begins, with a chrom of
+the catalogue, a start, and an end one behind it and not beyond the chrom.  There it
+resumes; the lines between are reported as ``inside a broken quote``.  Every valid record
+is an anchor, so a broken quote costs no valid record.  After other errors the parser
+resumes at the next line.
 
 Grammar, one record::
 
@@ -12,12 +14,13 @@ Grammar, one record::
     tail      = 9 fields parted by tabs | 9 fields parted by single spaces   (from field 10 on)
     field     = text | quote text quote          text holds no quote, tab or line end
 
-and then the checks of values (``_check``).  Blank lines, comments (``#``) and the header
-line are skipped.
+and then the checks of values (``check``).  Blank lines, comments (``#``) and the header
+line are skipped, wherever they are.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,10 +34,10 @@ MAX_LONG = 2**63 - 1
 HEADER = "\t".join(BEDMETHYL_COLUMNS)
 _NAME = re.compile(r"([^,]*)(?:,([ACGTUNRYSWKMBDHVX]+),([0-9]{1,18}))?\Z")
 _PERCENT = re.compile(r"[0-9]+\.[0-9]{2}\Z")
-_ANCHOR = re.compile(r'(?m)^"?([^\t\n"]+)"?\t"?[0-9]+"?\t"?[0-9]+"?\t')
-_LINE_START = re.compile(r"\n")
+_FIELD, _LOOSE = re.compile(r'"[^"\t\n\r]*"|[^"\t\n\r]*'), re.compile(r'"[^"\t\n\r]*"|[^" \t\n\r]*')
 _QUOTE_STOP = re.compile(r'["\t\n\r]')
 _TAB_STOP, _ANY_STOP = re.compile(r"[\t\n\r]"), re.compile(r"[ \t\n\r]")
+BROKEN_QUOTE, SWALLOWED = "quote not closed", "inside a broken quote"
 
 RECORD_TYPE = ", ".join(
     f"`{c}` " + ("string" if c in ("chrom", "name", "strand", "color") else "double" if c == "percent_modified" else "bigint") for c in BEDMETHYL_COLUMNS
@@ -56,68 +59,70 @@ class Parser:
     def items(self) -> Iterator[tuple[int, list | Fault]]:
         """(offset of the start, record or fault) of everything that is not skipped."""
         text, n = self.text, len(self.text)
-        while self.at < n or (n == 0 and self.at == 0):
+        swallowing = False
+        while self.at < n:
             start = self.at
             end = text.find("\n", start)
             end = n if end < 0 else end
-            line = text[start:end]
-            bare = line[:-1] if line.endswith("\r") else line
-            if not bare.strip() or bare[0] == "#" or bare == HEADER:
+            if self.skipped(start, end):
                 self.at = end + 1
                 continue
+            if swallowing and not self.anchor():
+                yield start, Fault(SWALLOWED, start, 0)
+                self.at = end + 1
+                continue
+            self.at, swallowing = start, False
             try:
-                record = self.record()
-                yield start, record
+                yield start, self.record()
             except Fault as fault:
+                swallowing = fault.reason == BROKEN_QUOTE
                 yield start, fault
-                self.resume(start)
-            if n == 0:
-                return
-
-    def resume(self, start: int) -> None:
-        """To the next anchor after the line of ``start``; without one, to the next line."""
-        line = _LINE_START.search(self.text, start)
-        if not line:
-            self.at = len(self.text) + 1
-            return
-        self.at = line.end()
-        for m in _ANCHOR.finditer(self.text, line.end()):
-            if m[1] in self.contigs:
-                # lines between that look like no record are reported on their own
-                between = self.text.find("\n", line.end())
-                self.at = m.start() if between < 0 or m.start() <= between else line.end()
-                return
+            self.at = end + 1
+
+    def skipped(self, start: int, end: int) -> bool:
+        first = self.text[start : start + 1]
+        if first == "#":
+            return True
+        if not first.isspace() and not self.text.startswith("chrom", start):
+            return False
+        line = self.text[start:end]
+        return not line.strip() or line.removesuffix("\r") == HEADER
+
+    def anchor(self) -> bool:
+        """Whether a record begins here: chrom, start and end are as in a valid one."""
+        try:
+            chrom, _ = self.read(1, _FIELD, _TAB_STOP, "\t")
+            start, _ = self.read(2, _FIELD, _TAB_STOP, "\t")
+            end, _ = self.read(3, _FIELD, _TAB_STOP, "\t")
+        except Fault:
+            return False
+        if chrom not in self.contigs or not (start.isascii() and start.isdigit() and end.isascii() and end.isdigit()):
+            return False
+        return int(start) + 1 == int(end) <= self.contigs[chrom]
 
     def record(self) -> list:
-        start = self.at
-        end = self.text.find("\n", start)
-        end = len(self.text) if end < 0 else end
-        fields = _plain(self.text[start:end])
-        if fields is None:
-            fields, places = self.fields()
-        else:
-            # without quotes the fields lie next to each other
-            places = None
-        record = self.check(fields, places, start)
-        self.at = end + 1
-        return record
+        return self.check(*self.fields())
 
     def fields(self) -> tuple[list[str], list[int]]:
-        """The 18 fields and where they begin, by descent; leaves the end of the line to read."""
+        """The 18 fields and where they begin, and the end of the line."""
         fields, places = [], []
-        for k in range(9):
-            places.append(self.at)
-            fields.append(self.field(k + 1, _TAB_STOP))
-            self.separator("\t", k + 1)
+        for k in range(1, 10):
+            value, at = self.read(k, _FIELD, _TAB_STOP, "\t")
+            fields.append(value)
+            places.append(at)
         places.append(self.at)
         fields.append(self.field(10, _ANY_STOP))
         mark = self.text[self.at : self.at + 1]
         if mark not in ("\t", " "):
             raise Fault("too few fields", self.at, 10)
-        for k in range(10, 18):
-            self.separator(mark, k)
-            places.append(self.at)
-            fields.append(self.field(k + 1, _TAB_STOP if mark == "\t" else _ANY_STOP))
+        self.at += 1
+        form, stops = (_FIELD, _TAB_STOP) if mark == "\t" else (_LOOSE, _ANY_STOP)
+        for k in range(11, 18):
+            value, at = self.read(k, form, stops, mark)
+            fields.append(value)
+            places.append(at)
+        places.append(self.at)
+        fields.append(self.field(18, stops))
         if self.text[self.at : self.at + 1] == "\t":
             self.at += 1
         if self.text[self.at : self.at + 1] == "\r":
@@ -126,12 +131,24 @@ class Parser:
             raise Fault("too many fields", self.at, 18)
         return fields, places
 
+    def read(self, number: int, form: re.Pattern, stops: re.Pattern, mark: str) -> tuple[str, int]:
+        """A field and the separator behind it; the field's value and where it begins."""
+        start = self.at
+        end = form.match(self.text, start).end()
+        if self.text[end : end + 1] != mark:
+            # something is wrong: find out what
+            self.field(number, stops)
+            self.separator(mark, number)
+            raise AssertionError("unreachable")
+        self.at = end + 1
+        return (self.text[start + 1 : end - 1] if self.text[start] == '"' else self.text[start:end]), start
+
     def field(self, number: int, stops: re.Pattern) -> str:
         text, start = self.text, self.at
         if text.startswith('"', start):
             m = _QUOTE_STOP.search(text, start + 1)
             if not m or m[0] != '"':
-                raise Fault("quote not closed", start, number)
+                raise Fault(BROKEN_QUOTE, start, number)
             self.at = m.end()
             if self.at < len(text) and not stops.match(text, self.at):
                 raise Fault("text after a closing quote", self.at, number)
@@ -153,9 +170,9 @@ class Parser:
         else:
             raise Fault("wrong separator", self.at, number)
 
-    def check(self, f: list[str], places: list[int] | None, begin: int) -> list:
+    def check(self, f: list[str], places: list[int]) -> list:
         def place(k: int) -> int:
-            return places[k] if places else begin + sum(map(len, f[:k])) + k
+            return places[k]
 
         def number(k: int) -> int:
             s = f[k]
@@ -192,22 +209,6 @@ class Parser:
         return [f[0], start, end, f[3], score, f[5], start, end, f[8], coverage, float(f[10]), *counts]
 
 
-def _plain(line: str) -> list[str] | None:
-    """The fields of a line without quotes that has as many as it should; else None, and
-    the descent finds out what is wrong."""
-    if '"' in line:
-        return None
-    line = line[:-1] if line.endswith("\r") else line
-    line = line[:-1] if line.endswith("\t") else line
-    if "\r" in line:
-        return None
-    fields = line.split("\t")
-    if len(fields) == 10:
-        tail = fields[9].split(" ")
-        return fields[:9] + tail if len(tail) == 9 else None
-    return fields if len(fields) == 18 and " " not in fields[9] else None
-
-
 def parse(text: str, contigs: dict[str, int]) -> tuple[list[list], list[tuple[int, int, str, int]]]:
     """Records, and errors (line from 1, column from 1, reason, field), of a text of any number of lines."""
     records, errors = [], []
@@ -219,44 +220,84 @@ def parse(text: str, contigs: dict[str, int]) -> tuple[list[list], list[tuple[in
     return records, errors
 
 
-def parse_lines(lines: DataFrame, contigs: DataFrame, keep: list[str], line: str = "line") -> DataFrame:
+#: Lines of a file that are parsed as one text.
+BLOCK_LINES = 4096
+
+
+def parse_lines(
+    lines: DataFrame, contigs: DataFrame, keep: list[str], line: str = "line", file: str | None = None, number: str | None = None, block: int = BLOCK_LINES, only_errors: bool = False
+) -> DataFrame:
     """The columns ``keep`` of each input row with, for every record or error in it,
-    ``record`` (a struct, null for an error), ``reason``, ``error_field`` and
+    ``record`` (its 18 columns, null for an error), ``reason``, ``error_field`` and
     ``error_column`` (null for a record).  Rows that are skipped give nothing.
 
-    A null line is an error (``null line``); an empty one is blank; a row that holds
-    several lines gives a row for each; repeated lines are parsed alike; columns of the
-    input that clash with the new ones must not be in ``keep``.  ``contigs`` is a
-    catalogue of reference sequences and is sent to the tasks."""
+    With ``file`` and ``number`` (columns that place a line in a file) the lines of a file
+    are parsed in order, as texts of at most ``block`` lines, which is as far as a broken
+    quote reaches; this shuffles the lines once, by file and block, so a large file is
+    spread.  Without them, or where they are null, each row is a text of its own.
+    ``only_errors`` leaves the records out where they are made.
+
+    A null line is an error (``null line``) and ends a text; an empty one is blank; a row
+    that holds several lines gives a row for each; repeated lines are parsed alike; lines
+    of one number come in the order of their text; columns of the input that clash with
+    the new ones must not be in ``keep``.  ``contigs`` is a catalogue of reference
+    sequences and is sent to the tasks."""
     sizes = {r["chrom"]: r["size"] for r in contigs.where("chrom is not null and size is not null").select("chrom", "size").collect()}
     shared = lines.sparkSession.sparkContext.broadcast(sizes)
-    names = [*keep, *BEDMETHYL_COLUMNS, "reason", "error_field", "error_column"]
+    names = [*keep, *([] if only_errors else BEDMETHYL_COLUMNS), "reason", "error_field", "error_column"]
     own = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in keep)
-    schema = ", ".join(x for x in (own, RECORD_TYPE, "reason string, error_field int, error_column int") if x)
-    blank = [None] * len(BEDMETHYL_COLUMNS)
+    schema = ", ".join(x for x in (own, *([] if only_errors else [RECORD_TYPE]), "reason string, error_field int, error_column int") if x)
+    blank = () if only_errors else (None,) * len(BEDMETHYL_COLUMNS)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str | None], list[tuple]]]:
+        """Runs of rows that are one text: of one file and block, without null lines."""
+        last, run, values = None, [], []
         for frame in frames:
-            rows = []
-            for values in zip(frame["_line"].tolist(), *[frame[c].tolist() for c in keep]):
-                text, own = values[0], values[1:]
-                if text is None:
-                    rows.append((*own, *blank, "null line", 0, 1))
-                    continue
-                for start, item in Parser(text, shared.value).items():
-                    if isinstance(item, Fault):
-                        rows.append((*own, *blank, item.reason, item.field, item.at - start + 1))
-                    else:
-                        rows.append((*own, *item, None, None, None))
-            out = pd.DataFrame(rows, columns=names)
-            for c in BEDMETHYL_COLUMNS:
+            kept = list(zip(*[frame[c].tolist() for c in keep])) if keep else [()] * len(frame)
+            for text, key, v in zip(frame["_line"].tolist(), frame["_text"].tolist(), kept):
+                if run and (key is None or key != last or text is None or run[-1] is None):
+                    yield run, values
+                    run, values = [], []
+                last = key
+                run.append(text)
+                values.append(v)
+        if run:
+            yield run, values
+
+    def rows_of(run: list[str | None], values: list[tuple]) -> Iterator[tuple]:
+        if run[0] is None:
+            yield (*values[0], *blank, "null line", 0, 1)
+            return
+        starts = list(itertools.accumulate((len(t) + 1 for t in run), initial=0))
+        row = 0
+        for start, item in Parser("\n".join(run), shared.value).items():
+            while starts[row + 1] <= start:
+                row += 1
+            if isinstance(item, Fault):
+                yield (*values[row], *blank, item.reason, item.field, item.at - start + 1)
+            elif not only_errors:
+                yield (*values[row], *item, None, None, None)
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run, values in texts(frames):
+            out = pd.DataFrame(list(rows_of(run, values)), columns=names)
+            for c in BEDMETHYL_COLUMNS if not only_errors else ():
                 if c not in ("chrom", "name", "strand", "color", "percent_modified"):
                     out[c] = out[c].astype("Int64")
             for c in ("error_field", "error_column"):
                 out[c] = out[c].astype("Int32")
-            yield out
-
-    return lines.select(*keep, F.col(line).alias("_line")).mapInPandas(apply, schema)
+            if len(out):
+                yield out
+
+    if file and number:
+        key = F.concat_ws("/", F.expr(f"`{number}` div {block}").cast("string"), F.col(file).cast("string"))
+        key = F.when(F.col(file).isNotNull() & F.col(number).isNotNull(), key)
+        rows = lines.select(*keep, F.col(line).alias("_line"), key.alias("_text"), F.col(number).alias("_number"))
+        # rows without a place are spread by their text: each is a text of its own
+        rows = rows.withColumn("_spread", F.when(F.col("_text").isNull(), F.xxhash64("_line")).otherwise(F.xxhash64("_text"))).repartition("_spread").sortWithinPartitions("_text", "_number", "_line").drop("_number", "_spread")
+    else:
+        rows = lines.select(*keep, F.col(line).alias("_line"), F.lit(None).cast("string").alias("_text"))
+    return rows.mapInPandas(apply, schema)
 
 
 def records(parsed: DataFrame) -> DataFrame:

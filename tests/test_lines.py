@@ -87,6 +87,45 @@ def test_recovers_after_a_broken_quote():
     assert len(records) == 3 and [(e[0], e[2]) for e in errors] == [(2, "quote not closed"), (4, "quote not closed")]
 
 
+SWALLOWED = [GOOD, edit(4, '"m'), "a note that the quote began", 'chr9\t10\t11\tm"', "chr1\t10\t12\tm", "# a comment", "chr1\t999\t1000\tbad", GOOD, "bad", GOOD]
+
+
+def test_a_quote_over_several_lines_ends_at_a_validated_anchor():
+    records, errors = lines.parse("\n".join(SWALLOWED), SIZES)
+    assert len(records) == 3
+    # line 7 begins like a record of chr1 and is no better for it: there the quote has ended
+    assert [(e[0], e[2]) for e in errors] == [(2, lines.BROKEN_QUOTE), (3, lines.SWALLOWED), (4, lines.SWALLOWED), (5, lines.SWALLOWED), (7, "too few fields"), (9, "too few fields")]
+
+
+@pytest.mark.parametrize("anchor", [lambda self: False, lambda self: True])
+def test_without_validated_anchors_the_result_is_another(monkeypatch, anchor):
+    want = lines.parse("\n".join(SWALLOWED), SIZES)
+    monkeypatch.setattr(lines.Parser, "anchor", anchor)
+    got = lines.parse("\n".join(SWALLOWED), SIZES)
+    assert got != want and (len(got[0]) < len(want[0])) == (not anchor(None))
+
+
+def test_lines_of_a_file_are_one_text_in_any_layout(spark):
+    data = [(k, f, n, t) for f in ("a", "b") for n, t in enumerate(SWALLOWED) for k in [n + 100 * (f == "b")]]
+    data += [(500, None, 3, edit(4, '"m')), (501, None, 4, "bad"), (502, "c", None, "bad"), (503, "c", 7, None)]
+    df = spark.createDataFrame(data, "line_id long, file_name string, line_no int, line string")
+    contigs = spark.createDataFrame(list(SIZES.items()), "chrom string, size long")
+    got = []
+    for n in (1, 5):
+        for errors in (True, False):
+            parsed = lines.parse_lines(df.repartition(n), contigs, ["line_id"], file="file_name", number="line_no", only_errors=errors)
+            got.append(rows(lines.errors(parsed, ["line_id"])))
+        assert parsed.where("reason is null").count() == 6
+    assert got[0] == got[1] == got[2] == got[3]
+    reason = {r[0]: r[1] for r in got[0]}
+    assert [reason[k] for k in (1, 2, 3, 4, 6, 102)] == [lines.BROKEN_QUOTE, lines.SWALLOWED, lines.SWALLOWED, lines.SWALLOWED, "too few fields", lines.SWALLOWED]
+    assert reason[501] == reason[502] == "too few fields" and reason[503] == "null line"
+    # a block is as far as a quote reaches
+    small = lines.parse_lines(df, contigs, ["line_id"], file="file_name", number="line_no", block=3)
+    reason = {r["line_id"]: r["reason"] for r in lines.errors(small, ["line_id"]).collect()}
+    assert reason[2] == lines.SWALLOWED and reason[3] == "quote inside a field"
+
+
 def test_locates_the_fault():
     (line, column, reason, field), = lines.parse("# c\n" + edit(6, "?"), SIZES)[1]
     assert (line, field, reason) == (2, 6, "invalid strand") and edit(6, "?")[column - 1] == "?"
