@@ -114,6 +114,21 @@ def aligned_pairs(cigar: str, pos: int, read_len: int, reverse: bool) -> dict[in
     return out
 
 
+def query_position(cigar: str, pos: int, at: int) -> int | None:
+    """Position in the stored sequence of a reference position; none in a gap or outside."""
+    q, r = 0, pos
+    for n, op in ((int(n), op) for n, op in _CIGAR.findall(cigar or "")):
+        if op in "M=X":
+            if r <= at < r + n:
+                return q + at - r
+            q, r = q + n, r + n
+        elif op in "IS":
+            q += n
+        elif op in "DN":
+            r += n
+    return None
+
+
 def soft_clips(cigar: Column, reverse: Column) -> tuple[Column, Column]:
     """Soft-clipped bases at the start and the end, in the read's own direction."""
     first = F.coalesce(F.regexp_extract(cigar, r"^(?:\d+H)?(\d+)S", 1).try_cast("int"), F.lit(0))

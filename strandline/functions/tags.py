@@ -247,6 +247,37 @@ def tracked(checked: DataFrame, observation: Observation) -> DataFrame:
     return checked.observe(observation, n(F.col("error").isNull()).alias("used"), n(skipped).alias("skipped"), n(F.col("error").isNotNull() & ~skipped).alias("failed"))
 
 
+def parse_md(md):
+    """The MD tag as an array of (kind, n, bases): matches, mismatches (the base of the
+    reference) and deletions; null where it is null or can't be read."""
+    tokens = F.regexp_extract_all(F.upper(md), F.lit(r"(\d+|\^[ACGT]+|[ACGT])"), F.lit(1))
+
+    def one(t):
+        number, gone = t.rlike(r"^\d"), F.startswith(t, F.lit("^"))
+        bases = F.when(~number, F.regexp_replace(t, r"^\^", ""))
+        n = F.when(number, t.try_cast("int")).otherwise(F.length(bases))
+        return F.struct(F.when(number, "match").when(gone, "deletion").otherwise("mismatch").alias("kind"), n.alias("n"), bases.alias("bases"))
+
+    return F.when(F.upper(md).rlike(r"^(\d+|\^[ACGT]+|[ACGT])*$"), F.transform(tokens, one))
+
+
+def modified_bases(reads: DataFrame) -> DataFrame:
+    """(strand, base, code, mode, n): every code of the tags with its strand, primary base
+    and mode (``.`` where none is written), and the records that have it.  Records whose
+    tag can't be parsed are left out.  Without Python: tags are taken apart by patterns."""
+    whole = F.col("mm").rlike(r"^\s*([ACGTUN][+-](\d+|[A-Za-z]+)[?.]?(,\d+)*;?)*\s*$")
+    headers = F.regexp_extract_all("mm", F.lit(r"([ACGTUN][+-](?:\d+|[A-Za-z]+)[?.]?)(?=[,;]|\s*$)"), F.lit(1))
+
+    def codes_of(h):
+        text, mode = F.regexp_extract(h, r"^..(\d+|[A-Za-z]+)", 1), F.regexp_extract(h, r"([?.])$", 1)
+        each = F.when(text.rlike(r"^\d"), F.array(text)).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
+        own = [F.substring(h, 2, 1).alias("strand"), F.translate(F.substring(h, 1, 1), "U", "T").alias("base")]
+        return F.transform(each, lambda c: F.struct(*own, c.alias("code"), F.when(mode == "", ".").otherwise(mode).alias("mode")))
+
+    flat = reads.where("mm is not null").where(whole).select(F.inline(F.array_distinct(F.flatten(F.transform(headers, codes_of)))))
+    return flat.groupBy("strand", "base", "code", "mode").agg(F.count("*").alias("n"))
+
+
 def census(checked: DataFrame) -> DataFrame:
     """(kind, name, n, percent): headers of valid records, errors as percentages of all errors."""
     good = checked.where("error is null").select(F.lit("header").alias("kind"), F.explode("headers").alias("name"))

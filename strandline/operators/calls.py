@@ -136,3 +136,20 @@ def capped_depth(pos: DataFrame, max_depth: int) -> DataFrame:
     """At most ``max_depth`` reads of each position, the first by read id (the cap is the feature)."""
     w = Window.partitionBy("chrom", "ref_pos", "strand").orderBy("read_id", "flag", "fwd_pos", "base")
     return pos.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_depth).drop("_n")
+
+
+def deletions(reads: DataFrame) -> DataFrame:
+    """(read_id, flag, chrom, ref_pos): reference bases that aligned reads have deleted
+    (D of their CIGAR), one row each; skipped stretches (N) are no deletions."""
+    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+    step = F.struct(F.col("pos").cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("gone"))
+
+    def take(state: Column, op: Column) -> Column:
+        kind, n = F.substring(op, -1, 1), F.regexp_extract(op, r"^(\d+)", 1).cast("long")
+        at = state["at"] + F.when(kind.isin("M", "=", "X", "D", "N"), n).otherwise(0)
+        gone = F.when((kind == "D") & (n > 0), F.array_append(state["gone"], F.struct(state["at"].alias("a"), (at - 1).alias("b")))).otherwise(state["gone"])
+        return F.struct(at.alias("at"), gone.alias("gone"))
+
+    rows = reads.where("chrom is not null and pos >= 0 and cigar is not null").where(F.col("flag").bitwiseAND(4) == 0)
+    spans = rows.select("read_id", "flag", "chrom", F.inline(F.aggregate(ops, step, take)["gone"]))
+    return spans.select("read_id", "flag", "chrom", F.explode(F.sequence("a", "b")).alias("ref_pos"))

@@ -30,12 +30,20 @@ def position_counts(rows: DataFrame, by: tuple[str, ...] = ("sample_id",), min_c
     """Counts of each position: ``counts`` (code to modified reads) and ``total``.
 
     Positions whose modified counts exceed the coverage contradict themselves and are
-    left out, as are codes of no known base and positions below ``min_coverage``."""
+    left out (``contradictions`` has them), as are codes of no known base and positions
+    below ``min_coverage``."""
     known = rows.where(base_of_code(F.col("code")).isNotNull())
     out = known.groupBy(*by, *POSITION).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "count_modified")))).alias("counts"), F.max("valid_coverage").alias("total"), F.sum("count_modified").alias("n_mod"))
     return out.where((F.col("n_mod") <= F.col("total")) & (F.col("total") >= min_coverage))
 
 
+def contradictions(rows: DataFrame, by: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """Positions whose codes disagree about the coverage, or modify more reads than it has."""
+    known = rows.where(base_of_code(F.col("code")).isNotNull())
+    out = known.groupBy(*by, *POSITION).agg(F.min("valid_coverage").alias("least_coverage"), F.max("valid_coverage").alias("most_coverage"), F.sum("count_modified").alias("n_mod"))
+    return out.where("least_coverage <> most_coverage or n_mod > most_coverage")
+
+
 def pool(counts: DataFrame, keys: list[str], balanced: bool = False) -> DataFrame:
     """Counts of replicates put together.  ``balanced``: every replicate enters with the
     mean coverage, its code counts scaled to that and rounded down."""
@@ -84,11 +92,12 @@ def sites(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("score", score).withColumn("effect_size", F.col("a_mod") / F.col("a_total") - F.col("b_mod") / F.col("b_total"))
 
 
-def coverage_cap(counts: DataFrame, q: float = 0.95) -> int:
-    """The coverage up to which counts are believed: a percentile, rounded down; 1 at least."""
+def coverage_cap(counts: DataFrame, q: float = 0.95, replicates: int = 1, capped: bool = False, ceiling: int = 300) -> int:
+    """The coverage up to which counts are believed: a percentile, rounded down, times the
+    number of replicates unless their counts were ``capped`` before; from 1 to ``ceiling``."""
     by = counts.groupBy("total").agg(F.count("*").alias("c"))
     row = by.agg(F.percentile("total", F.lit(q), F.col("c")).alias("v")).first()
-    return max(1, int(row["v"] or 1))
+    return min(ceiling, max(1, int(row["v"] or 1) * (1 if capped else replicates)))
 
 
 def with_p_values(scored: DataFrame, cap_a: int, cap_b: int, delta: float = 0.05) -> DataFrame:
@@ -117,11 +126,12 @@ def region_pairs(counts: DataFrame, pairs: list[tuple[str, str]] | None = None,
     that one of the samples does not cover is left out."""
     keys = ["chrom", "start", "end", "region_name", "region_strand"]
     side = lambda x: counts.select(F.col(sample).alias(f"sample_{x}"), *keys, F.col("counts").alias(f"{x}_counts"), F.col("total").alias(f"{x}_total"), F.col("n_mod").alias(f"{x}_mod"))
-    both = side("a").join(side("b"), keys)
     if pairs is None:
-        both = both.where("sample_a < sample_b")
+        both = side("a").join(side("b"), keys).where("sample_a < sample_b")
     else:
-        both = both.where(F.concat_ws("/", "sample_a", "sample_b").isin([f"{a}/{b}" for a, b in pairs]))
+        # the wanted pairs go to one side first, so that no other pair is ever joined
+        wanted = counts.sparkSession.createDataFrame(pairs, "sample_a string, sample_b string")
+        both = side("a").join(F.broadcast(wanted), "sample_a").join(side("b"), [*keys, "sample_b"])
     score = llr(F.col("a_counts"), F.col("a_total"), F.col("b_counts"), F.col("b_total"))
     percent = lambda x: F.col(f"{x}_mod") / F.col(f"{x}_total")
     return both.where("a_total > 0 and b_total > 0").select(

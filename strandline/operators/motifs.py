@@ -21,21 +21,34 @@ from strandline.session import materialize
 # ---------------------------------------------------------------- hits
 
 
-def motif_hits(sequences: DataFrame, motifs: list[Motif], keep: str = "chrom", seq: str = "seq", upper: bool = True) -> DataFrame:
-    """(keep, motif, offset, pos, strand) of every occurrence in whole sequences.  A
-    palindrome is scanned once for both strands.  Null sequences have none."""
+def motif_hits(sequences: DataFrame, motifs: list[Motif], keep: str = "chrom", seq: str = "seq", upper: bool = True, block: int = 1 << 20) -> DataFrame:
+    """(keep, motif, offset, pos, strand) of every occurrence in sequences, whole ones or
+    windows of them (with the columns start, before and core of
+    ``readers.fasta_windows``, whose overlap must be as long as the motifs).  A palindrome
+    is scanned once for both strands.  Null sequences have none.  Hits come out ``block``
+    bases at a time, so a long sequence's hits are never held together."""
     kind = sequences.schema[keep].dataType.simpleString()
+    windowed = {"start", "before", "core"} <= set(sequences.columns)
+    reach = max((m.length for m in motifs), default=1)
+
+    def pieces(s: str, origin: int, low: int, high: int) -> Iterator[tuple[str, int, int, int]]:
+        """(text, its position, positions that count: from, up to)"""
+        for a in range(low, high, block):
+            b = min(high, a + block)
+            left, right = max(0, a - origin - reach), b - origin + reach
+            yield s[left:right], origin + left, a, b
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, s in zip(f["k"], f["s"]):
-                s = s.upper() if upper else s
-                for m in motifs:
-                    found = m.hits(s)
-                    if found:
-                        yield pd.DataFrame({"k": name, "motif": m.raw, "offset": m.offset, "pos": [p for p, _ in found], "strand": [x for _, x in found]})
-
-    rows = sequences.select(F.col(keep).alias("k"), F.col(seq).alias("s")).where("s is not null")
+            for name, s, origin, low, high in zip(f["k"], f["s"], f["o"], f["a"], f["b"]):
+                for text, at, a, b in pieces(s.upper() if upper else s, int(origin), int(low), int(high)):
+                    for m in motifs:
+                        found = [(p + at, x) for p, x in m.hits(text) if a <= p + at < b]
+                        if found:
+                            yield pd.DataFrame({"k": name, "motif": m.raw, "offset": m.offset, "pos": [p for p, _ in found], "strand": [x for _, x in found]})
+
+    start, before, core = (F.col("start"), F.col("before"), F.col("core")) if windowed else (F.lit(0), F.lit(0), F.length(seq))
+    rows = sequences.select(F.col(keep).alias("k"), F.col(seq).alias("s"), (start - before).cast("long").alias("o"), start.cast("long").alias("a"), (start + core).cast("long").alias("b")).where("s is not null")
     return rows.mapInPandas(apply, f"k {kind}, motif string, offset int, pos long, strand string").withColumnRenamed("k", keep)
 
 
@@ -233,11 +246,12 @@ class Search:
         kept = by.where((F.col("high") >= self.min_sites) & (score >= self.seed_log_odds)).orderBy(score.desc(), "s", "bases").collect()
         return [{o: 1 << BASES.index(b) for o, b in zip(sets[r["s"]], r["bases"])} for r in kept]
 
-    def run(self, context: tuple[int, int] = (2, 2), max_rounds: int = 50, seed_size: int = 3) -> list[Masks]:
+    def run(self, context: tuple[int, int] = (2, 2), seed_size: int = 3) -> list[Masks]:
         """Seeds of the fixed context, then none, then all seeds of a size; contexts of
-        motifs found are masked after each round."""
+        motifs found are masked after each round.  A round that finds no new motif is the
+        last of its kind; each motif found takes k-mers away, so the rounds end."""
         found: list[Masks] = []
-        for _ in range(max_rounds):
+        while True:
             subset = self.open_kmers(found)
             rows = fixed_seeds(subset.withColumn("code", F.lit("x")), self.focus, context, self.min_log_odds).collect()
             seeds = cluster([r["slice"] for r in rows])
@@ -249,7 +263,7 @@ class Search:
             if not refined:
                 break
             found = merge(found + refined)
-        for _ in range(max_rounds):
+        while True:
             m = self.refine({}, self.open_kmers(found))
             if not self.good(m) or any(is_superset(m, f) for f in found):
                 break

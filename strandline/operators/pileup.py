@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
-from strandline.operators.calls import called, is_mapped, is_primary
+from strandline.operators.calls import called, capped_depth, is_mapped, is_primary
 from strandline.schema import BASE_OF_CODE, CODES_BY_BASE, COLOR
 
 BASES = ("A", "C", "G", "T")
@@ -70,14 +70,21 @@ def rows_of(tallied: DataFrame, keys: list[str], combine_mods: bool = False) ->
     return totals.selectExpr(*[f"`{k}`" for k in keys], "n_delete", "n_fail", f"inline(array({', '.join(out)}))").where("base is not null")
 
 
-def pileup(pos: DataFrame, thresholds: P.Thresholds, extra_keys: tuple[str, ...] = (), combine_mods: bool = False, combine_strands: dict[str, int] | None = None) -> DataFrame:
+def pileup(pos: DataFrame, thresholds: P.Thresholds, extra_keys: tuple[str, ...] = (), combine_mods: bool = False, combine_strands: dict[str, int] | None = None, max_depth: int | None = None, deletions: DataFrame | None = None) -> DataFrame:
     """Per-position counts: keys, base, code and the eight counts.
 
+    ``max_depth``: so many reads of a position count (``calls.capped_depth``).
+    ``deletions``: (read_id, flag, chrom, ref_pos) and the extra keys of bases that reads
+    have deleted (``calls.deletions``); they count at both strands of a position.
+
     ``combine_strands``: partner offset of a palindromic motif (2-base CG: ``{"C": 1}``);
     the − rows of that base are added to the + row that many positions before, with
     strand ``.``."""
     keys = ["chrom", "ref_pos", "strand", *extra_keys]
-    feat = features(pos, thresholds)
+    feat = features(pos if max_depth is None else capped_depth(pos, max_depth), thresholds)
+    if deletions is not None:
+        gone = deletions.where(is_primary(F.col("flag")) & is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos"))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+        feat = feat.select(*keys, "base", "call", "read_codes").unionByName(gone.select(*keys, F.lit("").alias("base"), F.struct(F.lit("delete").alias("kind"), F.lit(0.0).alias("p"), F.lit(None).cast("string").alias("code")).alias("call"), F.array().cast("array<string>").alias("read_codes")))
     rows = rows_of(tally(feat, keys), keys, combine_mods)
     if not combine_strands:
         return rows

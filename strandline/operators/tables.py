@@ -57,8 +57,12 @@ def track(bed: DataFrame, codes: list[str]) -> DataFrame:
     """One value per position: modified counts of ``codes`` add up on each strand, of two
     strands the one with more coverage is shown (a tie: +), − as a negative percentage."""
     rows = plain_code(bed).where(F.col("code").isin(codes) & F.col("chrom").isNotNull() & (F.col("valid_coverage") > 0))
-    by = rows.groupBy("chrom", "chromstart", "strand").agg(F.sum("count_modified").alias("n"), F.max("valid_coverage").alias("cov"))
-    # '+' < '-' < '.' in order of preference
-    best = by.groupBy("chrom", "chromstart").agg(F.max(F.struct("cov", (F.ascii("strand") * -1).alias("o"), "strand", "n")).alias("b"))
-    sign = F.when(F.col("b.strand") == "-", -1.0).otherwise(1.0)
-    return best.select("chrom", F.col("chromstart").alias("start"), (F.col("chromstart") + 1).alias("end"), F.round(sign * 100.0 * F.least(F.lit(1.0), F.col("b.n") / F.col("b.cov")), 4).alias("value"))
+    # one aggregation with a slot for each strand, so that it runs on a stream too
+    sides = {"p": "+", "m": "-", "u": "."}
+    own = lambda s, c: F.when(F.col("strand") == s, F.col(c))
+    sums = [x for k, s in sides.items() for x in (F.sum(own(s, "count_modified")).alias(f"n_{k}"), F.max(own(s, "valid_coverage")).alias(f"cov_{k}"))]
+    by = rows.where(F.col("strand").isin(*sides.values())).groupBy("chrom", "chromstart").agg(*sums)
+    sign = {"p": 1.0, "m": -1.0, "u": 1.0}
+    # of equal coverage the strand that comes first
+    best = F.array_max(F.array(*[F.when(F.col(f"cov_{k}").isNotNull(), F.struct(F.col(f"cov_{k}").alias("cov"), F.lit(-i).alias("o"), F.col(f"n_{k}").alias("n"), F.lit(sign[k]).alias("sign"))) for i, k in enumerate(sides)]))
+    return by.withColumn("b", best).select("chrom", F.col("chromstart").alias("start"), (F.col("chromstart") + 1).alias("end"), (F.round(F.col("b.sign") * 100.0 * F.least(F.lit(1.0), F.col("b.n") / F.col("b.cov")), 4) + 0.0).alias("value"))

@@ -68,11 +68,25 @@ def first_reads(reads: DataFrame, n: int) -> DataFrame:
     return reads.limit(n)
 
 
-def contig_quotas(reads: DataFrame, n_target: int) -> DataFrame:
-    """(chrom, n, quota): reads wanted of each contig, in proportion, rounded up."""
+def contig_quotas(reads: DataFrame, n_target: int, most: float = 1.5) -> DataFrame:
+    """(chrom, n, quota): reads wanted of each contig, in proportion, rounded up.
+
+    Rounding up gives many small contigs a read each; while the quotas add up to more than
+    ``most`` times the target, contigs with the smallest quotas are left out (quota 0),
+    ties by name: until a quota's contigs are all out and the sum is small enough, or
+    until the target is met."""
     by = reads.where("chrom is not null").groupBy("chrom").agg(F.count("*").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy())  # one row per contig
-    return by.withColumn("quota", F.least(F.col("n"), F.ceil(F.col("n") * (F.lit(float(n_target)) / whole) - 1e-9)).cast("long"))
+    whole = F.broadcast(by.agg(F.sum("n").alias("_whole")))
+    quota = F.least(F.col("n"), F.ceil(F.col("n") * (F.lit(float(n_target)) / F.col("_whole")) - 1e-9)).cast("long")
+    wanted = by.join(whole).withColumn("quota", quota).drop("_whole")
+    # what is left when a contig's turn comes, and when its quota's turn comes; one row per contig
+    total = F.broadcast(wanted.agg(F.sum("quota").alias("_total")))
+    before = lambda *o: Window.orderBy(*o)
+    ranked = wanted.join(total).withColumn("_upto", F.sum("quota").over(before("quota", "chrom").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = ranked.withColumn("_level", F.sum("quota").over(before("quota").rangeBetween(Window.unboundedPreceding, -1)))
+    left = lambda c: F.col("_total") - F.coalesce(F.col(c), F.lit(0))
+    out = (F.col("_total") > most * n_target) & (left("_upto") > n_target) & (left("_level") > most * n_target)
+    return ranked.select("chrom", "n", F.when(out, F.lit(0)).otherwise(F.col("quota")).cast("long").alias("quota"))
 
 
 def sample_even(reads: DataFrame, n_target: int, bins: int = 64) -> DataFrame:

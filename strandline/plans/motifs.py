@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import tags
 from strandline.functions.seq import Motif
-from strandline.operators import motifs, pileup
+from strandline.operators import calls, motifs, pileup, rewrite, validate
 from strandline.plans.binding import THRESHOLDS, read_positions
 from strandline.schema import BASE_OF_CODE
 from strandline.session import materialize, release, table
@@ -94,9 +94,9 @@ def _tagged_reads(spark: SparkSession, d: str) -> DataFrame:
     seqs = sequences(spark, d).where("length(seq) >= 10")
     hits = motifs.motif_hits(seqs, [Motif("CG", 0)], "doc_id").where("strand = '+'")
     p = (F.col("pos") % 256 + F.lit(0.5)) / 256
-    calls = hits.select(F.col("doc_id").cast("string").alias("read_id"), F.lit(0).alias("flag"), F.lit("+").alias("mod_strand"), F.lit("C").alias("base"), F.col("pos").cast("int").alias("fwd_pos"), F.create_map(F.lit("m"), p).alias("probs"))
+    own = hits.select(F.col("doc_id").cast("string").alias("read_id"), F.lit(0).alias("flag"), F.lit("+").alias("mod_strand"), F.lit("C").alias("base"), F.col("pos").cast("int").alias("fwd_pos"), F.create_map(F.lit("m"), p).alias("probs"))
     reads = seqs.select(F.col("doc_id").cast("string").alias("read_id"), F.lit(0).alias("flag"), F.concat(F.lit("doc"), F.col("doc_id") % 7).alias("chrom"), F.lit(100).cast("long").alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), "seq")
-    return tags.encode_reads(reads, calls)
+    return tags.encode_reads(reads, own)
 
 
 def f2_tag_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,53 @@ def f2_tag_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def c4_update_tags(spark: SparkSession, d: str) -> DataFrame:
     """The mode made implicit: bases without a call become canonical by inference."""
     reads = _tagged_reads(spark, d).withColumn("mm", tags.update_mode(F.col("mm"), "."))
-    return tags.decode_reads(reads).groupBy("inferred").agg(F.count("*").alias("n"), F.countDistinct("read_id").alias("reads"))
+    return tags.decode_reads(reads).groupBy(F.col("read_id").cast("long").alias("doc_id"), "inferred").agg(F.count("*").alias("n"), F.round(F.sum(F.col("probs")["m"]), 6).alias("p"))
+
+
+def c3_adjust_reads(spark: SparkSession, d: str) -> DataFrame:
+    """From tags to tags: m becomes h, calls near the ends go; decoded again."""
+    reads = rewrite.adjust_reads(_tagged_reads(spark, d), convert=[("m", "h")], edge=(10, 10))
+    return tags.decode_reads(reads).select(F.col("read_id").cast("long").alias("doc_id"), "fwd_pos", F.round(F.col("probs")["h"], 9).alias("p"))
+
+
+def c5_call_reads(spark: SparkSession, d: str) -> DataFrame:
+    """From tags to tags: the called class of each position."""
+    reads = rewrite.call_reads(_tagged_reads(spark, d), THRESHOLDS)
+    return tags.decode_reads(reads).select(F.col("read_id").cast("long").alias("doc_id"), "fwd_pos", F.round(F.col("probs")["m"], 9).alias("p"))
+
+
+def _gapped_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged reads; those of even number and over 40 bases have five deleted after the 20th."""
+    cut = (F.col("read_id").cast("long") % 2 == 0) & (F.length("seq") > 40)
+    return _tagged_reads(spark, d).withColumn("cigar", F.when(cut, F.concat(F.lit("20M5D"), F.length("seq") - 20, F.lit("M"))).otherwise(F.col("cigar")))
+
+
+def c1_pileup_deletions(spark: SparkSession, d: str) -> DataFrame:
+    """The pileup of tagged reads, deleted bases counted."""
+    reads = _gapped_reads(spark, d)
+    pos = tags.to_positions(tags.decode_reads(reads))
+    return pileup.to_bedmethyl(pileup.pileup(pos, THRESHOLDS, deletions=calls.deletions(reads)))
+
+
+def j10_uncalled(spark: SparkSession, d: str) -> DataFrame:
+    """What reads show at truth positions (every seventh) for which they have no call."""
+    reads = _gapped_reads(spark, d)
+    called = tags.to_positions(tags.decode_reads(reads)).select("read_id", "flag", "chrom", "ref_pos", "strand")
+    spots = spark.range(100, 401, 7).select(F.col("id").alias("pos"), F.lit("+").alias("strand"), F.when(F.col("id") % 2 == 0, "m").otherwise("-").alias("code"))
+    truth = spots.withColumn("chrom", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat(F.lit("doc"), i))))
+    return validate.uncalled(reads, called, truth).groupBy("truth", "status").agg(F.count("*").alias("n"))
+
+
+def _odd_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged reads of which most are changed or damaged, by the read's number."""
+    reads, k = _tagged_reads(spark, d), F.col("read_id").cast("long") % 8
+    mm = F.when(k == 1, tags.update_mode(F.col("mm"), ".")).when(k == 2, F.lit(None).cast("string")).when(k == 6, F.concat(F.lit("X"), "mm")).when(k == 7, F.regexp_replace("mm", "m", "hm")).otherwise(F.col("mm"))
+    ml = F.when(k == 4, F.concat("ml", F.array(F.lit(7)))).when(k == 5, F.slice("ml", F.lit(1), F.size("ml") - 1)).when(k == 7, F.flatten(F.transform("ml", lambda x: F.array(F.lit(0), x)))).otherwise(F.col("ml"))
+    return reads.withColumn("ml", F.when(F.col("ml").isNotNull(), ml)).withColumn("mm", mm).withColumn("mn", F.when(k == 3, F.col("mn") + 1).otherwise(F.col("mn")))
+
+
+def a34_modified_bases(spark: SparkSession, d: str) -> DataFrame:
+    return tags.modified_bases(_odd_reads(spark, d))
 
 
 def c10_repair(spark: SparkSession, d: str) -> DataFrame:
@@ -118,12 +164,12 @@ def c10_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c24_check_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tags.census(tags.check_tags(_tagged_reads(spark, d))).withColumn("percent", F.round("percent", 6))
+    return tags.census(tags.check_tags(_odd_reads(spark, d))).withColumn("percent", F.round("percent", 6))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (c15_motif_bed, a29_kmer_levels, a32_base_counts, c18_evaluate, m1_fixed_seeds, c16_search, c17_refine, a31_primary_base, f2_tag_roundtrip, c4_update_tags, c10_repair, c24_check_tags)
+    for f in (c15_motif_bed, a29_kmer_levels, a32_base_counts, c18_evaluate, m1_fixed_seeds, c16_search, c17_refine, a31_primary_base, f2_tag_roundtrip, c4_update_tags, c3_adjust_reads, c5_call_reads, c1_pileup_deletions, j10_uncalled, c10_repair, c24_check_tags, a34_modified_bases)
 }
 
 
@@ -143,6 +189,11 @@ _LEVELS = _levels_sql()
 _RE = {"CG": "..CG.", "CHH": "..C[ACT][ACT]", "CHG": "..C[ACT]G", "DRACH": "[AGT][AG]AC[ACT]", "C": "..C.."}
 _SEQ = "seqs as (select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents)"
 
+#: seq0: reads; l: their calls at CG, with the place on the reference of a read that may have a gap.
+_CALLED = f"""{_SEQ}, seq0 as (select *, 'doc' || doc_id % 7 as chrom, doc_id % 2 = 0 and length(seq) > 40 as cut from seqs where length(seq) >= 10),
+l0 as (select *, unnest(range(length(seq))) as i from seq0),
+l as (select *, ((i % 256) + 0.5::double) / 256 as p, 100 + i + case when cut and i >= 20 then 5 else 0 end as ref_pos from l0 where substring(seq, i + 1, 2) = 'CG')"""
+
 
 def _evaluate_sql() -> str:
     parts = []
@@ -176,7 +227,22 @@ ORACLES = {
     "h as (select doc_id, seq, part, contains(seq, 'CG') as tagged, strpos(seq, part) as at, strpos(substring(seq, strpos(seq, part) + 1), part) as again from l), "
     "s as (select doc_id, case when not tagged then 'no donor' when again > 0 then 'more than once in the donor' else 'ok' end as state, substring(seq, 21, length(part) + 1) as shown from h) "
     "select doc_id, state, case when state = 'ok' then (length(shown) - length(replace(shown, 'CG', ''))) // 2 else 0 end as n_calls from s",
-    "c24_check_tags": f"with {_SEQ}, l as (select contains(seq, 'CG') as tagged from seqs where length(seq) >= 10) "
-    "select case when tagged then 'header' else 'error' end as kind, case when tagged then 'C+m?' else 'no tags' end as name, count(*) as n, 100.0::double as percent from l group by tagged",
-    "c4_update_tags": f"with {_SEQ}, l as (select doc_id, seq, unnest(range(length(seq))) as i from seqs where length(seq) >= 10 and contains(seq, 'CG')) select substring(seq, i + 1, 2) <> 'CG' as inferred, count(*) as n, count(distinct doc_id) as reads from l where substring(seq, i + 1, 1) = 'C' group by 1",
+    "c24_check_tags": f"with {_SEQ}, l as (select doc_id % 8 as k, contains(seq, 'CG') as tagged from seqs where length(seq) >= 10), "
+    "g as (select case when not tagged or k = 2 then 'no tags' when k = 3 then 'length differs from MN' when k = 4 then 'too many qualities' when k = 5 then 'too few qualities' when k = 6 then 'malformed tag' end as error, "
+    "case when k = 1 then 'C+m.' when k = 7 then 'C+hm?' else 'C+m?' end as header from l), "
+    "n as (select case when error is null then 'header' else 'error' end as kind, coalesce(error, header) as name, count(*) as n from g group by all) select *, round(100.0::double * n / sum(n) over (partition by kind), 6) as percent from n",
+    "a34_modified_bases": f"with {_SEQ}, l as (select doc_id % 8 as k from seqs where length(seq) >= 10 and contains(seq, 'CG') and doc_id % 8 not in (2, 6)), "
+    "e as (select '+' as strand, 'C' as base, unnest(case when k = 7 then ['h', 'm'] else ['m'] end) as code, case when k = 1 then '.' else '?' end as mode from l) select *, count(*) as n from e group by all",
+    "c4_update_tags": f"with {_SEQ}, l as (select doc_id, seq, unnest(range(length(seq))) as i from seqs where length(seq) >= 10 and contains(seq, 'CG')) select doc_id, substring(seq, i + 1, 2) <> 'CG' as inferred, count(*) as n, "
+    "round(sum(case when substring(seq, i + 1, 2) = 'CG' then ((i % 256) + 0.5::double) / 256 else 0 end), 6) as p from l where substring(seq, i + 1, 1) = 'C' group by 1, 2",
+    "c3_adjust_reads": f"with {_CALLED} select doc_id, i as fwd_pos, round(p, 9) as p from l where i >= 10 and i < length(seq) - 10 and length(seq) > 10",
+    "c5_call_reads": f"with {_CALLED} select doc_id, i as fwd_pos, round(case when p >= 0.7 then 255.5::double else 0.5::double end / 256, 9) as p from l where p >= 0.7 or 1 - p >= 0.7",
+    "c1_pileup_deletions": f"""with {_CALLED}, r as (select distinct doc_id, chrom from seq0 where cut), x as (select chrom, ref_pos, count(*) filter (p >= 0.7) as n_mod, count(*) filter (p < 0.7 and 1 - p >= 0.7) as n_can, count(*) filter (p < 0.7 and 1 - p < 0.7) as n_fail from l group by all),
+y as (select x.*, case when ref_pos between 120 and 124 then (select count(*) from r where r.chrom = x.chrom) else 0 end as n_delete from x where n_mod + n_can > 0)
+select chrom, ref_pos as "chromStart", ref_pos + 1 as "chromEnd", 'm' as name, n_mod + n_can as score, '+' as strand, ref_pos as "thickStart", ref_pos + 1 as "thickEnd", '255,0,0' as color, n_mod + n_can as valid_coverage,
+ round(100.0::double * n_mod / (n_mod + n_can), 2) as percent_modified, n_mod as count_modified, n_can as count_canonical, 0::bigint as count_other_mod, n_delete as count_delete, n_fail as count_fail, 0::bigint as count_diff, 0::bigint as count_nocall from y""",
+    "j10_uncalled": f"""with {_CALLED}, t as (select unnest(range(100, 401, 7)) as pos), x as (select seq, pos, pos % 2 = 0 as m, cut, case when not cut or pos < 120 then pos - 100 when pos < 125 then -1 else pos - 105 end as q
+  from seq0, t where contains(seq, 'CG') and pos < 100 + length(seq) + case when cut then 5 else 0 end),
+y as (select case when m then 'm' else '-' end as truth, case when q < 0 then 'deletion' when substring(seq, q + 1, 1) = 'C' then 'no_call' else 'mismatch ' || substring(seq, q + 1, 1) end as status from x where q < 0 or substring(seq, q + 1, 2) <> 'CG')
+select *, count(*) as n from y group by all""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from strandline.functions.seq import Motif
 from strandline.operators import calls, pileup, reference, thresholds
 from strandline.operators.intervals import points_in
 from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
-from strandline.session import table
+from strandline.session import shared_folder, table
+from strandline.sources import layout, writers
 
 QS = (0.1, 0.5, 0.9)
 CG = {"C": 1}
+FETCH_BIN = 1 << 26  # few rows a folder here
 
 
 def _cg(pos: DataFrame) -> DataFrame:
@@ -45,7 +49,22 @@ def c1_pileup_edge_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c2_pileup_hemi(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.pileup_hemi(read_positions(spark, d), THRESHOLDS)
+    return pileup.pileup_hemi(_duplex(read_positions(spark, d)), THRESHOLDS)
+
+
+def c2_hemi_bedmethyl(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the 18 columns of a pileup table."""
+    return writers.hemi_bedmethyl(c2_pileup_hemi(spark, d))
+
+
+def _duplex(pos: DataFrame) -> DataFrame:
+    """Calls of C on + with a partner on −: like it, or canonical, or (every third position
+    of the read) without one."""
+    plus = pos.where("base = 'C' and strand = '+'")
+    canonical = F.transform_values("probs", lambda _, p: p * 0)
+    probs = F.when(F.col("fwd_pos") % 3 == 1, canonical).otherwise(F.col("probs"))
+    minus = plus.where("fwd_pos % 3 <> 2").withColumns({"strand": F.lit("-"), "ref_pos": F.col("ref_pos") + 1, "probs": probs})
+    return plus.unionByName(minus)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -133,7 +152,24 @@ def f31_read_motif(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a35_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
-    return calls.first_per_read_position(read_positions(spark, d).where(calls.is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos"))))
+    """Positions that a read name covers more than once; every fifth position of a read is
+    there twice for that."""
+    pos = read_positions(spark, d).where(calls.is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos")))
+    twice = F.when(F.col("fwd_pos") % 5 == 0, 2).otherwise(1)
+    return calls.first_per_read_position(pos.withColumn("_copy", F.explode(F.sequence(F.lit(1), twice))))
+
+
+def l2_pruned_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """So few reads wanted that small contigs are left out."""
+    return thresholds.contig_quotas(_reads(spark, d), 20)
+
+
+def f38_region_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Pileup rows of two regions, fetched from a table laid out by (chrom, bin)."""
+    at = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    layout.write(table(spark, d, "bedmethyl"), at, "chromstart", "chromend", FETCH_BIN)
+    sizes = {r["chrom"]: r["size"] for r in table(spark, d, "contigs").where("chrom = 'chr2'").collect()}
+    return layout.fetch(spark, at, [layout.parse_region(r, sizes) for r in ("chr2", "chr7:1,000,000-90,000,000")], "chromstart", "chromend", FETCH_BIN).select("sample_id", "chrom", "chromstart", "strand", "name", "valid_coverage", "count_modified")
 
 
 QUERIES = {
@@ -141,7 +177,7 @@ QUERIES = {
     for f in (
         c1_pileup, c1_pileup_combined_mods, c1_pileup_by_sample, c1_pileup_cg_combined_strands, c1_pileup_edge_filter, c2_pileup_hemi,
         c3_ignore, c3_convert, c3_filter, c5_call_mods, c6_sample_probs, c6_histogram, c7_summary, c8_extract_full, c9_extract_calls,
-        f20_include_exclude, f18_motif_focus, f31_read_motif, l2_contig_quotas, l3_sample_even, a35_duplicate_names,
+        f20_include_exclude, f18_motif_focus, f31_read_motif, l2_contig_quotas, l2_pruned_quotas, l3_sample_even, a35_duplicate_names, c2_hemi_bedmethyl, f38_region_fetch,
     )
 }
 
@@ -188,19 +224,33 @@ cls as (""",
 _QV = ", ".join(f"({q}::double)" for q in QS)
 _CG_SQL = CALLS_SQL.replace(MODS_SQL, _CG_M)
 
+# calls of C on + and, for two in three, a partner on −
+_DUPLEX = CALLS_SQL.replace(MODS_SQL, MODS_SQL.replace("\nm as (", "\nm9 as (").replace(
+    "cls as (",
+    """m as (select * from m9 where base = 'C' and strand = '+' union all
+   select * replace ('-' as strand, ref_pos + 1 as ref_pos, case when fwd_pos % 3 = 1 then p * 0 else p end as p, case when fwd_pos % 3 = 1 then s * 0 else s end as s) from m9 where base = 'C' and strand = '+' and fwd_pos % 3 <> 2),
+cls as (""", 1))
+_HEMI = f"""with {_DUPLEX},
+side as (select read_id, flag, chrom, case when strand = '-' then ref_pos - 1 else ref_pos end as ref_pos, strand, kind, coalesce(call_code, '-') as code from c where {_PRIMARY} and {_MAPPED} and base = 'C'),
+pr as (select read_id, flag, chrom, ref_pos, max(struct_pack(kind := kind, code := code)) filter (strand = '+') as a, max(struct_pack(kind := kind, code := code)) filter (strand = '-') as b from side group by all),
+l as (select chrom, ref_pos, case when coalesce(a.kind, '') = 'filtered' or coalesce(b.kind, '') = 'filtered' then 'fail' when coalesce(a.kind, 'nocall') = 'nocall' or coalesce(b.kind, 'nocall') = 'nocall' then 'nocall' else a.code || ',' || b.code || ',C' end as pat from pr),
+g as (select chrom, ref_pos, pat, count(*) as n from l group by all),
+s as (select chrom, ref_pos, coalesce(sum(n) filter (pat = 'fail'), 0)::bigint as n_fail, coalesce(sum(n) filter (pat = 'nocall'), 0)::bigint as n_nocall, sum(n) filter (pat like '%,C') as valid, coalesce(sum(n) filter (pat = '-,-,C'), 0) as can from g group by all)
+select chrom, ref_pos, '.' as strand, pat as pattern, n, can::bigint as n_canonical, (valid - n - case when pat = '-,-,C' then 0 else can end)::bigint as n_other, n_fail, n_nocall, valid::bigint as valid_coverage from g join s using (chrom, ref_pos) where pat like '%,C'"""
+
 ORACLES = {
     "c1_pileup": _bed_sql(CALLS_SQL, _K),
     "c1_pileup_combined_mods": _bed_sql(CALLS_SQL, _K, combine_mods=True),
     "c1_pileup_by_sample": _bed_sql(CALLS_SQL.replace("m0 as (select r.read_id", "m0 as (select coalesce(r.sample_id, 'ungrouped') as partition_key, r.read_id").replace(KEYS, "partition_key, " + KEYS), "partition_key, " + _K, show="partition_key,"),
     "c1_pileup_edge_filter": _bed_sql(_EDGED, _K),
     "c1_pileup_cg_combined_strands": _bed_sql(_CG_SQL, _K, strands=True).replace("m.code from m where", "m.code from m where m.code <> 'h' and"),
-    "c2_pileup_hemi": f"""with {CALLS_SQL},
-side as (select read_id, flag, chrom, case when strand = '-' then ref_pos - 1 else ref_pos end as ref_pos, strand, kind, coalesce(call_code, '-') as code from c where {_PRIMARY} and {_MAPPED} and base = 'C'),
-pr as (select read_id, flag, chrom, ref_pos, max(struct_pack(kind := kind, code := code)) filter (strand = '+') as a, max(struct_pack(kind := kind, code := code)) filter (strand = '-') as b from side group by all),
-l as (select chrom, ref_pos, case when coalesce(a.kind, '') = 'filtered' or coalesce(b.kind, '') = 'filtered' then 'fail' when coalesce(a.kind, 'nocall') = 'nocall' or coalesce(b.kind, 'nocall') = 'nocall' then 'nocall' else a.code || ',' || b.code || ',C' end as pat from pr),
-g as (select chrom, ref_pos, pat, count(*) as n from l group by all),
-s as (select chrom, ref_pos, coalesce(sum(n) filter (pat = 'fail'), 0)::bigint as n_fail, coalesce(sum(n) filter (pat = 'nocall'), 0)::bigint as n_nocall, sum(n) filter (pat like '%,C') as valid, coalesce(sum(n) filter (pat = '-,-,C'), 0) as can from g group by all)
-select chrom, ref_pos, '.' as strand, pat as pattern, n, can::bigint as n_canonical, (valid - n - case when pat = '-,-,C' then 0 else can end)::bigint as n_other, n_fail, n_nocall, valid::bigint as valid_coverage from g join s using (chrom, ref_pos) where pat like '%,C'""",
+    "c2_pileup_hemi": _HEMI,
+    "c2_hemi_bedmethyl": f"""select chrom, ref_pos as "chromStart", ref_pos + 1 as "chromEnd", pattern as name, valid_coverage as score, strand, ref_pos as "thickStart", ref_pos + 1 as "thickEnd", '255,0,0' as color, valid_coverage,
+ round(100.0::double * n / valid_coverage, 2) as percent_modified, n as count_modified, n_canonical as count_canonical, n_other as count_other_mod, 0::bigint as count_delete, n_fail as count_fail, 0::bigint as count_diff, n_nocall as count_nocall from ({_HEMI})""",
+    "l2_pruned_quotas": f"with {MODS_SQL}, r as (select distinct read_id, flag, chrom from m where {_PRIMARY} and {_MAPPED}), g as (select chrom, count(*) as n from r group by chrom), "
+    "q as (select *, least(n, ceil(n * (20.0::double / sum(n) over ()) - 1e-9))::bigint as quota from g), w as (select *, sum(quota) over () as total, coalesce(sum(quota) over (order by quota, chrom rows between unbounded preceding and 1 preceding), 0) as upto, "
+    "coalesce(sum(quota) over (order by quota range between unbounded preceding and 1 preceding), 0) as lower from q) select chrom, n, case when total > 30 and total - upto > 20 and total - lower > 30 then 0 else quota end as quota from w",
+    "f38_region_fetch": "select sample_id, chrom, chromstart, strand, name, valid_coverage, count_modified from bedmethyl where chromstart is not null and (chrom = 'chr2' or chrom = 'chr7' and chromstart < 90000000 and chromend > 1000000)",
     "c3_ignore": f"with {MODS_SQL}, h as (select *, max(case when code = 'h' then p end) over (partition by {KEYS}) as h from m where p is not null) select {KEYS}, code, round(p + coalesce(h / n, 0), 6) as p from h where code <> 'h'",
     "c3_convert": f"with {MODS_SQL} select {KEYS}, case code when 'h' then 'm' when '17596' then 'a' else code end as code, round(sum(p), 6) as p from m where p is not null group by {KEYS}, case code when 'h' then 'm' when '17596' then 'a' else code end",
     "c3_filter": f"with {CALLS_SQL} select m.* exclude (read_len) from (select {KEYS}, code, round(p, 6) as p, read_len from m where p is not null) m semi join (select * from c where kind in ('canonical', 'modified')) c on "
@@ -237,7 +287,7 @@ select chrom, ref_pos, '.' as strand, pat as pattern, n, can::bigint as n_canoni
     "g as (select chrom, count(*) as n, min(ref_start) as lo, max(ref_start) as hi from r group by chrom), q as (select *, least(n, ceil(n * (1000.0::double / sum(n) over ()) - 1e-9)) as quota from g), "
     "b as (select r.*, quota, floor((ref_start - lo) / greatest(1.0::double, (hi - lo + 1) / 64.0::double))::int as bin from r join q using (chrom)) "
     "select read_id, flag, chrom, ref_start, bin from b qualify row_number() over (partition by chrom, bin order by md5(read_id), read_id, flag) <= ceil(quota / 64.0::double - 1e-9)",
-    "a35_duplicate_names": f"with {CALLS_SQL} select chrom, ref_pos, strand, read_id, count(*) as n from c where {_MAPPED} group by all having count(*) > 1",
+    "a35_duplicate_names": f"with {CALLS_SQL} select chrom, ref_pos, strand, read_id, count(*) as n from (select * from c union all select * from c where fwd_pos % 5 = 0) where {_MAPPED} group by all having count(*) > 1",
     "c9_extract_calls": f"with {CALLS_SQL}, a as (select {KEYS}, max(ref_kmer) as ref_kmer, max(query_kmer) as query_kmer, max(read_len) as read_len, max(clip_start) as clip_start, max(clip_end) as clip_end, max(base_qual) as base_qual, bool_or(inferred) as inferred from m group by {KEYS}) "
     f"select {', '.join('c.' + k for k in KEYS.split(', '))}, round(c.top_p, 6) as call_prob, c.top_code as call_code, c.kind = 'filtered' as fail, c.fwd_pos >= clip_start and c.fwd_pos < read_len - clip_end and coalesce((c.flag & 4) = 0 and c.chrom is not null and c.ref_pos >= 0, false) as within_alignment, "
     "ref_kmer, query_kmer, read_len, clip_start, clip_end, base_qual, inferred, case when c.strand = '.' then '.' when c.strand = c.mod_strand then '+' else '-' end as ref_strand from c join a on "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import stats
 from strandline.operators import calls, dmr, entropy, intervals, tables, validate
 from strandline.operators.thresholds import estimate_thresholds, summary
-from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions
+from strandline.plans.binding import CALLS_SQL, KEYS, MODS_SQL, REGIONS_SQL, THRESHOLDS, read_positions, regions, threshold_sql
 from strandline.schema import BASE_OF_CODE, COUNT_COLUMNS
 from strandline.session import materialize, table
 
@@ -35,10 +35,10 @@ def c23_track(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j11_containing(spark: SparkSession, d: str) -> DataFrame:
-    """Reads with the regions of 100 bases that they cover: one every 1000 bases of their contig."""
+    """Reads with the regions of 5 bases that they cover: one every 25 bases of their contig."""
     pos = read_positions(spark, d).where(calls.is_primary(F.col("flag")) & calls.is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos")))
     reads = pos.groupBy("read_id", "flag", "chrom").agg(F.min("ref_pos").alias("ref_start"), (F.max("ref_pos") + 1).alias("ref_end"))
-    wins = reads.select("chrom", F.expr("(ref_start div 1000) * 1000").alias("start")).distinct().withColumn("end", F.col("start") + 100)
+    wins = reads.select("chrom", F.expr("(ref_start div 25 + 1) * 25").alias("start")).distinct().withColumn("end", F.col("start") + 5)
     return intervals.containing(reads, wins).select("read_id", "flag", "chrom", "start", "end")
 
 
@@ -47,12 +47,17 @@ def u4_interval_merge(spark: SparkSession, d: str) -> DataFrame:
     return intervals.merge(rows)
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return dmr.position_counts(dmr.best_rows(table(spark, d, "bedmethyl")))
+def _counts(spark: SparkSession, d: str, samples: list[str] | None = None) -> DataFrame:
+    rows = table(spark, d, "bedmethyl")
+    return dmr.position_counts(dmr.best_rows(rows if samples is None else rows.where(F.col("sample_id").isin(samples))))
+
+
+def a17_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return dmr.contradictions(dmr.best_rows(table(spark, d, "bedmethyl")))
 
 
 def c11_region_pair(spark: SparkSession, d: str) -> DataFrame:
-    by = dmr.region_counts(_counts(spark, d), regions(spark, d))
+    by = dmr.region_counts(_counts(spark, d, [A, B]), regions(spark, d))
     return _rounded(dmr.region_pairs(by, [(A, B)]))
 
 
@@ -67,36 +72,39 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def _sides(spark: SparkSession, d: str):
-    """Chromosome positions as they are, shifted to the nearest 10 kb so that samples meet."""
-    rows = dmr.best_rows(table(spark, d, "bedmethyl").withColumn("chromstart", F.expr("(chromstart div 10000) * 10000")))
-    counts = dmr.position_counts(rows)
-    side = lambda s: counts.where(F.col("sample_id").isin(*s)).select(*dmr.POSITION, "counts", "total", "n_mod")
-    return side([A]), side([B]), counts
+CELL = 10_000
 
 
-def c12_sites(spark: SparkSession, d: str) -> DataFrame:
-    a, b, _ = _sides(spark, d)
-    return _rounded(dmr.sites(a, b)).select(*dmr.POSITION, dmr.counts_text(F.col("a_counts")).alias("a_counts"), "a_total", dmr.counts_text(F.col("b_counts")).alias("b_counts"), "b_total", "score", "effect_size")
+def _cells(spark: SparkSession, d: str, by: str, cell: int = CELL) -> DataFrame:
+    """Counts of exact positions, added up in cells so that samples meet: re-deliveries are
+    picked and contradictions left out position by position, and then every position counts."""
+    counts = _counts(spark, d).withColumn("chromstart", F.expr(f"(chromstart div {cell}) * {cell}"))
+    return dmr.pool(counts.withColumn("side", F.expr(by)), ["side", *dmr.POSITION])
 
 
-def _summed_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of exact positions, added up in cells of 10 kb so that samples meet."""
-    counts = _counts(spark, d).where(F.col("sample_id").isin(A, B))
-    cells = counts.withColumn("chromstart", F.expr("(chromstart div 10000) * 10000"))
-    pooled = materialize(dmr.pool(cells, ["sample_id", *dmr.POSITION]))
-    side = lambda s: pooled.where(F.col("sample_id") == s).drop("sample_id")
-    return side(A), side(B)
+#: Samples of odd number against those of even number: replicates of two sides.
+SIDE = "case when cast(substring(sample_id, -1) as int) % 2 = 1 then 'a' else 'b' end"
+
+
+def _sides(spark: SparkSession, d: str, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    pooled = materialize(_cells(spark, d, SIDE, cell))
+    side = lambda s: pooled.where(F.col("side") == s).drop("side")
+    return side("a"), side("b")
+
+
+def c12_sites(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return _rounded(dmr.sites(a, b)).select(*dmr.POSITION, dmr.counts_text(F.col("a_counts")).alias("a_counts"), "a_total", dmr.counts_text(F.col("b_counts")).alias("b_counts"), "b_total", "score", "effect_size")
 
 
 def c12_site_p_values(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _summed_sides(spark, d)
+    a, b = _sides(spark, d)
     scored = dmr.sites(a, b)
     return dmr.with_p_values(scored, dmr.coverage_cap(a), dmr.coverage_cap(b)).select(*dmr.POSITION, "score", "effect_size", "map_p_value", "capped_effect_size")
 
 
-def _site_scores(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _summed_sides(spark, d)
+def _site_scores(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
+    a, b = _sides(spark, d, cell)
     # one site per position: both strands together
     keys = ["chrom", "chromstart"]
     both = dmr.sites(a, b).groupBy(*keys).agg(F.lit(".").alias("strand"), *[F.sum(c).alias(c) for c in ("a_mod", "a_total", "b_mod", "b_total")])
@@ -111,14 +119,12 @@ def c12_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def a18_replicates(spark: SparkSession, d: str) -> DataFrame:
     """All samples pooled with balanced coverage."""
-    _, _, counts = _sides(spark, d)
-    out = dmr.pool(counts.select("sample_id", *dmr.POSITION, "counts", "total"), list(dmr.POSITION), balanced=True)
+    out = dmr.pool(_cells(spark, d, "sample_id"), list(dmr.POSITION), balanced=True)
     return out.select(*dmr.POSITION, "total", dmr.counts_text(F.col("counts")).alias("counts"))
 
 
 def a18_pooled(spark: SparkSession, d: str) -> DataFrame:
-    _, _, counts = _sides(spark, d)
-    out = dmr.pool(counts.select("sample_id", *dmr.POSITION, "counts", "total"), list(dmr.POSITION))
+    out = dmr.pool(_cells(spark, d, "sample_id"), list(dmr.POSITION))
     return out.select(*dmr.POSITION, "total", dmr.counts_text(F.col("counts")).alias("counts"))
 
 
@@ -175,7 +181,7 @@ def a10_thresholds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        c20_localize, c21_stats, c22_merge, c23_track, j11_containing, u4_interval_merge, c11_region_pair, c13_region_multi, c12_sites, c12_site_p_values,
+        c20_localize, c21_stats, c22_merge, c23_track, j11_containing, u4_interval_merge, a17_contradictions, c11_region_pair, c13_region_multi, c12_sites, c12_site_p_values,
         c12_segments, a18_replicates, a18_pooled, w5_windows, c19_entropy_windows, c19_entropy_regions, c14_confusion, c14_accuracy, a10_thresholds,
     )
 }
@@ -190,8 +196,8 @@ def _f(k: str, n: str) -> str:
     return "(" + _F.format(f"(0.5::double + 2 * ({k}))", f"(0.5::double + 2 * (({n}) - ({k})))") + " - " + _F.format(f"(0.5::double + ({k}))", f"(0.5::double + ({n}) - ({k}))") + ")"
 
 
-def _best(start: str) -> str:
-    return f"""best as (select sample_id, chrom, {start} as chromstart, strand, {_CODE} as code, max(struct_pack(v := valid_coverage, m := count_modified, c := count_canonical)) as b from bedmethyl
+def _best() -> str:
+    return f"""best as (select sample_id, chrom, chromstart, strand, {_CODE} as code, max(struct_pack(v := valid_coverage, m := count_modified, c := count_canonical)) as b from bedmethyl
  where chrom is not null and chromstart is not null and strand is not null and name is not null and valid_coverage is not null and {_CODE} in ({_KNOWN}) group by all),
 pc0 as (select sample_id, chrom, chromstart, strand, max(b.v) as total, sum(b.m)::bigint as n_mod from best group by all),
 pc as (select * from pc0 where n_mod <= total),
@@ -217,7 +223,7 @@ sc as (select *, case when greatest(ca, cb) = 0 then 0 when greatest(ca, cb) = 1
 
 
 _RK = "chrom, start, \"end\", region_name, region_strand"
-_REGION = f"""{_best("chromstart")}, {REGIONS_SQL},
+_REGION = f"""{_best()}, {REGIONS_SQL},
 hits as (select b.sample_id, b.chrom, b.chromstart, b.strand, b.total, b.n_mod, r.start, r."end", r.region_name, r.strand as region_strand from pc b join regions r on {_IN}),
 rt as (select sample_id, {_RK}, sum(total)::bigint as total, sum(n_mod)::bigint as n_mod from hits group by all),
 rc as (select h.sample_id, {_RK}, code, sum(n)::bigint as n from hits h join cc using (sample_id, chrom, chromstart, strand) group by all)"""
@@ -234,11 +240,18 @@ tx as (select side, {keys}, string_agg(code || ':' || n, ',' order by code) as t
 from sc join (select * exclude (side) from tx where side = 'a') x using ({keys}) join (select * exclude (side) from tx where side = 'b') y using ({keys})"""
 
 
-_GRID = "(chromstart // 10000) * 10000"
 _POS = "chrom, chromstart, strand"
-_SITES = f"""with {_best(_GRID)},
-s as (select case sample_id when '{A}' then 'a' else 'b' end as side, {_POS}, code, n from cc where sample_id in ('{A}', '{B}')),
-t as (select case sample_id when '{A}' then 'a' else 'b' end as side, {_POS}, total, n_mod from pc where sample_id in ('{A}', '{B}')),
+
+
+def _cells_sql(by: str) -> str:
+    """pt(side, position, total, n_mod) and ct(side, position, code, n): sums of cells."""
+    grid = f"(chromstart // {CELL}) * {CELL}"
+    return f"""{_best()}, pt as (select {by} as side, chrom, {grid} as chromstart, strand, sum(total)::bigint as total, sum(n_mod)::bigint as n_mod from pc group by 1, 2, 3, 4),
+ct as (select {by} as side, chrom, {grid} as chromstart, strand, code, sum(n)::bigint as n from cc group by 1, 2, 3, 4, 5)"""
+
+
+_SIDE_SQL = "case when substring(sample_id, length(sample_id), 1)::int % 2 = 1 then 'a' else 'b' end"
+_SITES = f"""with {_cells_sql(_SIDE_SQL)}, s as (select * from ct), t as (select * from pt),
 tx as (select side, {_POS}, string_agg(code || ':' || n, ',' order by code) as txt from s group by all)"""
 _W = f"""w0 as (select distinct chrom, strand, ref_pos as pos from m where (flag & 3328) = 0 and (flag & 4) = 0 and chrom is not null and ref_pos >= 0 and strand in ('+', '-') and base = 'C' and substring(ref_kmer, 3, 2) = 'CG'),
 w1 as (select *, lead(pos) over (partition by chrom, strand order by pos) as nxt from w0),
@@ -262,7 +275,15 @@ en as (select chrom, strand, start, -sum(p * log2(p)) / {WINDOW_N} as entropy fr
 nr as (select chrom, strand, start, "end", sum(n)::bigint as num_reads from pat group by all),
 ew as (select chrom, start, "end", strand, round(entropy, 9) + 0.0 as entropy, num_reads from nr left join en using (chrom, strand, start))"""
 
+_ESTIMATED = (
+    CALLS_SQL.replace(threshold_sql(), "coalesce(v, 0)")
+    .replace("from cls group by all)", "from cls left join th using (base) group by all)", 1)
+    .replace("c0 as (select", f"th as (select base, quantile_cont(p, 0.1) as v from (select {KEYS}, max(p) as p from cls group by all) group by base having count(*) >= 2),\nc0 as (select", 1)
+)
+
 ORACLES = {
+    "a10_thresholds": f"with {_ESTIMATED}, k as (select *, case when kind = 'filtered' then top_code else call_code end as code from c where kind <> 'nocall') "
+    "select base, code, count(*) filter (kind <> 'filtered') as pass_count, count(*) filter (kind = 'filtered') as fail_count from k group by all",
     "c19_entropy_windows": f"with {_ENTROPY} select * from ew",
     "c19_entropy_regions": f"""with {_ENTROPY}, {REGIONS_SQL}
 select r.chrom, r.start, r."end", r.region_name, ew.strand, round(avg(entropy), 6) as mean_entropy, round(quantile_cont(entropy, 0.5), 6) as median_entropy, min(entropy) as min_entropy, max(entropy) as max_entropy,
@@ -281,10 +302,10 @@ select chrom, start, "end", region_name, region_strand, """
     + " from bedmethyl where chrom is not null and chromstart is not null and name is not null and strand is not null group by all) select *, count_modified + count_canonical + count_other_mod as valid_coverage, "
     "coalesce(round(100.0::double * count_modified / nullif(count_modified + count_canonical + count_other_mod, 0), 2), 0) as percent_modified from g",
     "c23_track": f"""with g as (select chrom, chromstart, strand, sum(count_modified) as n, max(valid_coverage) as cov from bedmethyl where {_CODE} in ('m', 'h') and chrom is not null and valid_coverage > 0 group by all)
-select chrom, chromstart as start, chromstart + 1 as "end", round(case when strand = '-' then -1.0::double else 1.0 end * 100.0 * least(1.0::double, n / cov), 4) as value from g
+select chrom, chromstart as start, chromstart + 1 as "end", round(case when strand = '-' then -1.0::double else 1.0 end * 100.0 * least(1.0::double, n / cov), 4) + 0.0 as value from g
 qualify row_number() over (partition by chrom, chromstart order by cov desc, ascii(strand)) = 1""",
     "j11_containing": f"""with {MODS_SQL}, r as (select read_id, flag, chrom, min(ref_pos) as ref_start, max(ref_pos) + 1 as ref_end from m where (flag & 3328) = 0 and (flag & 4) = 0 and chrom is not null and ref_pos >= 0 group by all),
-w as (select distinct chrom, (ref_start // 1000) * 1000 as start from r) select read_id, flag, chrom, start, start + 100 as "end" from r join w using (chrom) where ref_start <= start and ref_end >= start + 100""",
+w as (select distinct chrom, (ref_start // 25 + 1) * 25 as start from r) select read_id, flag, chrom, start, start + 5 as "end" from r join w using (chrom) where ref_start <= start and ref_end >= start + 5""",
     "u4_interval_merge": """with i as (select chrom, greatest(0, chromstart - 500) as s, chromstart + 500 as e from bedmethyl where chrom is not null and chromstart is not null),
 o as (select *, max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding) as reach from i),
 g as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by chrom order by s, e rows unbounded preceding) as run from o)
@@ -293,11 +314,12 @@ select chrom, min(s) as start, max(e) as "end", count(*) as n from g group by ch
     "c13_region_multi": _regions_sql("select x.sample_id as sample_a, y.sample_id as sample_b from (select distinct sample_id from pc) x, (select distinct sample_id from pc) y where x.sample_id < y.sample_id"),
     "c12_sites": f"""{_score_sql(_SITES, _POS)} select {_POS}, x.txt as a_counts, a_total, y.txt as b_counts, b_total, round(score, 5) + 0.0 as score, round(a_mod / a_total - b_mod / b_total, 5) + 0.0 as effect_size
 from sc join (select * exclude (side) from tx where side = 'a') x using ({_POS}) join (select * exclude (side) from tx where side = 'b') y using ({_POS})""",
-    "a18_pooled": f"with {_best(_GRID)}, t as (select {_POS}, sum(total)::bigint as total from pc group by all), s as (select {_POS}, code, sum(n)::bigint as n from cc group by all) "
-    f"select t.*, (select string_agg(code || ':' || n, ',' order by code) from s where s.chrom = t.chrom and s.chromstart = t.chromstart and s.strand = t.strand) as counts from t",
-    "a18_replicates": f"""with {_best(_GRID)}, p as (select *, avg(total) over (partition by {_POS})::float as mean, count(*) over (partition by {_POS}) as k from pc),
+    "a17_contradictions": f"with {_best()} select sample_id, chrom, chromstart, strand, min(b.v) as least_coverage, max(b.v) as most_coverage, sum(b.m)::bigint as n_mod from best group by all having min(b.v) <> max(b.v) or sum(b.m) > max(b.v)",
+    "a18_pooled": f"with {_cells_sql('sample_id')}, t as (select {_POS}, sum(total)::bigint as total from pt group by all), s as (select {_POS}, code, sum(n)::bigint as n from ct group by all), "
+    f"x as (select {_POS}, string_agg(code || ':' || n, ',' order by code) as counts from s group by all) select * from t join x using ({_POS})",
+    "a18_replicates": f"""with {_cells_sql('sample_id')}, p as (select *, avg(total) over (partition by {_POS})::float as mean, count(*) over (partition by {_POS}) as k from pt),
 t as (select {_POS}, sum(case when k > 1 then floor(mean)::bigint else total end)::bigint as total from p group by all),
-s as (select {_POS}, code, sum(case when k > 1 then floor(n::float / total::float * mean)::bigint else n end)::bigint as n from cc join p using (sample_id, chrom, chromstart, strand) group by all),
+s as (select {_POS}, code, sum(case when k > 1 then floor(n::float / total::float * mean)::bigint else n end)::bigint as n from ct join p using (side, chrom, chromstart, strand) group by all),
 x as (select {_POS}, string_agg(code || ':' || n, ',' order by code) as counts from s group by all) select * from t join x using ({_POS})""",
     "w5_windows": f"""with {MODS_SQL}, {_W} select chrom, strand, start, "end", 0 as k, p0 as pos from w2 union all select chrom, strand, start, "end", 1, p1 from w2""",
     "c14_accuracy": f"""with {CALLS_SQL}, {REGIONS_SQL}, {_TRUTH},

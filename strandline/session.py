@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,21 +50,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it: lineage ends there and
-    a lost executor costs nothing.  ``release`` deletes the table."""
+    a lost executor costs nothing.  ``release`` deletes the table; what nobody releases,
+    because a result still reads it, goes with the application (``release_all``)."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _made:
+        atexit.register(release_all)
+    _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
     return out
 
 
+#: Tables in the shared folder that this process has made and not deleted.
+_made: dict[str, SparkSession] = {}
+
+
 def release(df: DataFrame | None) -> None:
     path = getattr(df, "_strandline_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path and path in _made:
+        _delete(_made.pop(path), path)
+
+
+def release_all() -> None:
+    """Deletes every table made by ``materialize``; also done when the process ends."""
+    while _made:
+        path, spark = _made.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # the context has ended: what lies on this machine can still go
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bytes up to which ``attach`` broadcasts its small side.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.schema import BEDMETHYL_COLUMNS, code_order
+from strandline.schema import BEDMETHYL_COLUMNS, COLOR, code_order
 
 
 def _mode(force: bool) -> str:
@@ -25,7 +25,7 @@ def write_bedmethyl(rows: DataFrame, path: str, mixed: bool = False, header: boo
     with the column names and can't be used with ``partition`` (a directory per key)."""
     if header and partition:
         raise ValueError("partitioned output has no header")
-    ordered = rows.orderBy("chrom", "chromStart", "strand", code_order(F.split("name", ",")[0]))
+    ordered = rows.orderBy("chrom", "chromStart", "strand", code_order(F.split("name", ",")[0]), "name")
     extra = [partition] if partition else []
     if header:
         text = ordered.select(*[F.format_string("%.2f", F.col(c)).alias(c) if c == "percent_modified" else F.col(c) for c in BEDMETHYL_COLUMNS])
@@ -37,6 +37,26 @@ def write_bedmethyl(rows: DataFrame, path: str, mixed: bool = False, header: boo
     out.text(path, compression=compression)
 
 
+def hemi_bedmethyl(patterns: DataFrame) -> DataFrame:
+    """Patterns of both strands (``operators.pileup.pileup_hemi``) in the 18 columns of a
+    pileup table: the name is the pattern, the strand is always ``.``."""
+    valid, end = F.col("valid_coverage"), F.col("ref_pos") + 1
+    none = F.lit(0).cast("long")
+    return patterns.select(
+        "chrom", F.col("ref_pos").alias("chromStart"), end.alias("chromEnd"), F.col("pattern").alias("name"), valid.alias("score"), F.lit(".").alias("strand"),
+        F.col("ref_pos").alias("thickStart"), end.alias("thickEnd"), F.lit(COLOR).alias("color"), "valid_coverage", F.round(100.0 * F.col("n") / valid, 2).alias("percent_modified"),
+        F.col("n").alias("count_modified"), F.col("n_canonical").alias("count_canonical"), F.col("n_other").alias("count_other_mod"), none.alias("count_delete"),
+        F.col("n_fail").alias("count_fail"), none.alias("count_diff"), F.col("n_nocall").alias("count_nocall"),
+    )
+
+
+def read_order(rows: DataFrame) -> DataFrame:
+    """Read-level rows read by read in the order of the reference: by position in the
+    read, from its end for reads aligned to −."""
+    along = F.when(F.col("ref_strand") == "-", -F.col("fwd_pos")).otherwise(F.col("fwd_pos"))
+    return rows.repartition("read_id").sortWithinPartitions("read_id", "flag", along, "mod_strand", "base")
+
+
 def write_bedgraph(rows: DataFrame, path: str, force: bool = False) -> None:
     """chrom, start, end, fraction and coverage; a directory per code and strand."""
     strand = F.when(F.col("strand") == "+", "positive").when(F.col("strand") == "-", "negative").otherwise("combined")
@@ -49,17 +69,31 @@ def write_tsv(rows: DataFrame, path: str, header: bool = True, force: bool = Fal
     rows.write.mode(_mode(force)).csv(path, sep="\t", header=header, nullValue=".", emptyValue="", compression=compression or "none")
 
 
-def sam_line() -> Column:
-    """A read as a text SAM record with its modified-base tags."""
-    none = lambda c, x: F.coalesce(F.col(c).cast("string"), F.lit(x))
-    tags = F.concat_ws(
-        "\t",
-        F.when(F.col("mm").isNotNull(), F.concat(F.lit("MM:Z:"), F.col("mm"))),
-        F.when(F.size("ml") > 0, F.concat(F.lit("ML:B:C,"), F.array_join(F.col("ml").cast("array<string>"), ","))),
-        F.when(F.col("mn").isNotNull(), F.concat(F.lit("MN:i:"), F.col("mn").cast("string"))),
-    )
-    core = F.concat_ws("\t", "read_id", F.col("flag").cast("string"), none("chrom", "*"), F.coalesce((F.col("pos") + 1).cast("string"), F.lit("0")), F.lit("60"), none("cigar", "*"), F.lit("*"), F.lit("0"), F.lit("0"), none("seq", "*"), F.lit("*"))
-    return F.when(F.length(tags) > 0, F.concat_ws("\t", core, tags)).otherwise(core)
+def sam_line(columns: list[str]) -> Column:
+    """A read as a text SAM record.  Its auxiliary fields (``aux``) stay as they are and
+    where they are; those of modified bases are written from ``mm``, ``ml`` and ``mn``, at
+    the place of the old ones or at the end, and vanish where these are null."""
+    have = lambda c, other: F.coalesce(c, F.lit(other)) if c is not None else F.lit(other)
+    col = lambda c: F.col(c).cast("string") if c in columns else None
+    place = lambda c: (F.col(c) + 1).cast("string") if c in columns else None
+    new = {
+        "MM": F.when(F.col("mm").isNotNull(), F.concat(F.lit("MM:Z:"), F.col("mm"))),
+        "ML": F.when(F.col("mm").isNotNull() & F.col("ml").isNotNull(), F.concat_ws(",", F.lit("ML:B:C"), F.col("ml").cast("array<string>"))),
+        "MN": F.when(F.col("mn").isNotNull(), F.concat(F.lit("MN:i:"), F.col("mn").cast("string"))),
+    }
+    old = F.coalesce(F.col("aux"), F.array().cast("array<string>")) if "aux" in columns else F.array().cast("array<string>")
+    kind = lambda t: F.upper(F.substring(t, 1, 2))
+    is_own = lambda t: F.substring(t, 1, 2).isin("MM", "Mm", "ML", "Ml", "MN")
+    kept = F.transform(old, lambda t: F.when(is_own(t), F.when(kind(t) == "MM", new["MM"]).when(kind(t) == "ML", new["ML"]).otherwise(new["MN"])).otherwise(t))
+    there = F.transform(F.filter(old, is_own), kind)
+    added = F.array(*[F.when(~F.array_contains(there, k), v) for k, v in new.items()])
+    tags = F.array_compact(F.concat(kept, added))
+    qual = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "") if "qual" in columns else None
+    core = [
+        F.col("read_id"), F.col("flag").cast("string"), have(col("chrom"), "*"), have(place("pos"), "0"), have(col("mapq"), "255"), have(col("cigar"), "*"),
+        have(col("rnext"), "*"), have(place("pnext"), "0"), have(col("tlen"), "0"), have(col("seq"), "*"), have(qual, "*"),
+    ]
+    return F.array_join(F.concat(F.array(*core), tags), "\t")
 
 
 def program_record(header: list[str], name: str, version: str, command: str) -> list[str]:
@@ -75,7 +109,7 @@ def program_record(header: list[str], name: str, version: str, command: str) ->
 
 def write_sam(reads: DataFrame, path: str, force: bool = False, header: list[str] | None = None) -> None:
     """Records as text; ``header`` goes to a part file of its own that sorts first."""
-    reads.select(sam_line().alias("value")).write.mode(_mode(force)).text(path)
+    reads.select(sam_line(reads.columns).alias("value")).write.mode(_mode(force)).text(path)
     if header:
         spark = reads.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path, "header.sam")

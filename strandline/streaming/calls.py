@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from strandline.functions import probs as P
 from strandline.functions.tags import decode_reads, repair
+from strandline.operators import tables
 from strandline.session import usable
 
 
@@ -50,7 +51,18 @@ def windowed_counts(rows: DataFrame, thresholds: P.Thresholds, time: str = "load
     return marked.groupBy(F.window(time, window).alias("w"), "chrom", F.col("mod_code").alias("code")).agg(F.count("*").alias("n"), F.sum(F.col("passes").cast("long")).alias("n_pass")).select(F.col("w.start").alias("from_time"), "chrom", "code", "n", "n_pass")
 
 
+def track(rows: DataFrame, codes: list[str]) -> DataFrame:
+    """A stream of pileup rows as a track (``operators.tables.track``): the state is one
+    row per position, so it has no need of an order.  Written in complete mode."""
+    return tables.track(rows, codes)
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Writes what there is now to a parquet folder and stops."""
+    """Writes what there is now to a parquet folder and stops.  In complete mode the folder
+    holds the last result."""
+    if mode == "complete":
+        put = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return
     writer: DataStreamWriter = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.start(path).awaitTermination()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
+from strandline.functions import tags
 from strandline.functions.seq import Motif
 from strandline.operators import calls, pileup, reference
 from strandline.operators.motifs import motif_hits
@@ -172,6 +173,98 @@ def test_sam_round_trip(spark, tmp_path):
     assert rows(readers.sam(spark, str(tmp_path / "out")), *keep) == rows(reads, *keep)
 
 
+SAM = [
+    "a\t0\tc1\t101\t37\t4M\t=\t150\t53\tACCG\tIJ!~\tNM:i:1\tMM:Z:C+m?,0;\tML:B:C,200\tMN:i:4\tRG:Z:x y\tXB:B:f,1.5,2",
+    "b\t4\t*\t0\t0\t*\t*\t0\t0\tACCG\t*",
+    "c\t16\tc2\t7\t255\t2S2M\tc1\t9\t-4\tACCG\t!!!!\tMD:Z:4\tMD:Z:again",
+]
+
+
+def test_sam_is_written_as_it_was_read(spark, tmp_path):
+    many = "\t".join(f"X{a}:i:{i}" for i, a in enumerate("abcdefghijklmnopqrstuvwxyz" * 60))
+    data = [*SAM, f"d\t4\t*\t0\t0\t*\t*\t0\t0\tA\t*\t{many}"]
+    (tmp_path / "x.sam").write_text("@HD\tVN:1.6\n" + "\n".join(data) + "\n")
+    reads = readers.sam(spark, str(tmp_path / "x.sam"))
+    assert readers.sam_header(spark, str(tmp_path / "x.sam")) == ["@HD\tVN:1.6"]
+    writers.write_sam(reads, str(tmp_path / "out"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(data)
+    none = reads.withColumn("mm", F.lit(None).cast("string")).withColumn("mn", F.lit(None).cast("int"))
+    writers.write_sam(none, str(tmp_path / "none"))
+    assert not spark.read.text(str(tmp_path / "none")).where("value rlike '\t(MM|ML|MN):'").count()
+
+
+def test_adjusted_reads_keep_their_other_fields(spark, tmp_path):
+    from strandline.operators import rewrite
+
+    (tmp_path / "x.sam").write_text("\n".join(SAM) + "\na\t0\tc1\t101\t60\t4M\t*\t0\t0\tTCCG\tIIII\tMM:Z:C+mh?,0,0;\tML:B:C,10,240,200,20\tRG:Z:second\n")
+    reads = readers.sam(spark, str(tmp_path / "x.sam"))
+    writers.write_sam(rewrite.adjust_reads(reads, convert=[("h", "m")]), str(tmp_path / "out"))
+    got = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert got[0] == SAM[0] and got[2:] == SAM[1:]
+    assert got[1].endswith("TCCG\tIIII\tMM:Z:C+m?,0,0;\tML:B:C,251,221\tRG:Z:second\tMN:i:4")
+    called = {r["aux"][-1] if r["aux"] else "": (r["mm"], r["ml"]) for r in rewrite.call_reads(reads, P.Thresholds(0.7)).collect()}
+    assert called["RG:Z:second"] == ("C+h?,0,0;C+m?,0,0;", [255, 0, 0, 255])
+
+
+def test_regions(spark, tmp_path):
+    from strandline.sources import layout
+
+    sizes = {"c1": 500, "c2": 9}
+    assert layout.parse_region("c1", sizes) == layout.Region("c1", 0, 500)
+    assert layout.parse_region("x:1,000-2,500", sizes) == layout.Region("x", 1000, 2500)
+    for bad in ("c3", "c1:5", "c1:5-5", "c1:9-5", "c1:1-2-3", "c1:1-2:3", "c1:-4", "c1:a-b", "c1:1-99999999999"):
+        with pytest.raises(ValueError):
+            layout.parse_region(bad, sizes)
+    data = [(c, s, s + n, i) for i, (c, s, n) in enumerate((c, s, n) for c in ("c1", "c2", None) for s in range(0, 300, 7) for n in (1, 12, 95))]
+    df = spark.createDataFrame(data, "chrom string, start long, end long, i int")
+    layout.write(df, str(tmp_path / "t"), "start", "end", size=10)
+    for r in (layout.Region("c1", 95, 96), layout.Region("c2", 0, 1), layout.Region("c1", 40, 77), layout.Region("c9", 0, 5)):
+        got = layout.fetch(spark, str(tmp_path / "t"), [r], "start", "end", size=10)
+        assert sorted(x["i"] for x in got.collect()) == [i for c, s, e, i in data if c == r.chrom and s < r.end and e > r.start]
+    plan = layout.fetch(spark, str(tmp_path / "t"), [layout.Region("c1", 95, 96)], "start", "end", size=10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(_chrom" in plan.replace("isnotnull(_chrom#", "(_chrom").replace("PartitionFilters: [isnotnull", "PartitionFilters: [(_chrom") or "_bin" in plan.split("PartitionFilters")[1].split("]")[0]
+    points = df.where("chrom is not null")
+    layout.write(points, str(tmp_path / "p"), "start", size=10)
+    assert layout.fetch(spark, str(tmp_path / "p"), [layout.Region("c1", 7, 15)], "start", size=10).count() == 6
+
+
+def test_fasta_windows(spark, tmp_path):
+    import random
+
+    from strandline.operators import motifs
+
+    rnd = random.Random(2)
+    seqs = {f"c{k}": "".join(rnd.choice("ACGTacgtN") for _ in range(n)) for k, n in enumerate((1, 59, 60, 61, 333))}
+    text, index = "", ""
+    for c, s in seqs.items():
+        text += f">{c} x\n"
+        index += f"{c}\t{len(s)}\t{len(text)}\t60\t61\n"
+        text += "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60))
+    (tmp_path / "f.fa").write_text(text)
+    (tmp_path / "f.fai").write_text(index)
+    wins = readers.fasta_windows(spark, str(tmp_path / "f.fa"), str(tmp_path / "f.fai"), size=50, overlap=9)
+    for r in wins.collect():
+        a = r["start"] - r["before"]
+        assert r["seq"] == seqs[r["chrom"]].upper()[a : a + len(r["seq"])] and r["core"] == min(50, len(seqs[r["chrom"]]) - r["start"])
+    which = [Motif("CG", 0), Motif("DRACH", 2), Motif("GATC", 1), Motif("AN", 0)]
+    whole = motifs.motif_hits(spark.createDataFrame(list(seqs.items()), "chrom string, seq string"), which)
+    assert rows(motifs.motif_hits(wins, which)) == rows(whole) and whole.count() > 50
+
+
+def test_hemi_table(spark):
+    data = [("r", 0, "c", p, s, "C", code, q) for p in (10, 20) for s, code, q in (("+", "m", 0.9), ("-", "h", 0.95))]
+    pos = spark.createDataFrame([(*d[:6], {d[6]: d[7]}, "call") for d in data], "read_id string, flag int, chrom string, ref_pos long, strand string, base string, probs map<string,double>, kind string")
+    pos = pos.withColumn("ref_pos", F.when(F.col("strand") == "-", F.col("ref_pos") + 1).otherwise(F.col("ref_pos")))
+    bed = writers.hemi_bedmethyl(pileup.pileup_hemi(pos, T))
+    assert [(r["chromStart"], r["name"], r["strand"], r["score"], r["percent_modified"]) for r in bed.orderBy("chromStart").collect()] == [(10, "m,h,C", ".", 1, 100.0), (20, "m,h,C", ".", 1, 100.0)]
+
+
+def test_md(spark):
+    df = spark.createDataFrame([("10A5^AC6",), ("0T0",), ("",), (None,), ("3x",)], "md string")
+    got = [r["p"] and [(x["kind"], x["n"], x["bases"]) for x in r["p"]] for r in df.select(tags.parse_md(F.col("md")).alias("p")).collect()]
+    assert got == [[("match", 10, None), ("mismatch", 1, "A"), ("match", 5, None), ("deletion", 2, "AC"), ("match", 6, None)], [("match", 0, None), ("mismatch", 1, "T"), ("match", 0, None)], [], None, None]
+
+
 def test_program_record(spark, tmp_path):
     once = writers.program_record(["@HD\tVN:1.6"], "strandline", "1", "x y")
     twice = writers.program_record(once, "strandline", "1", "z")

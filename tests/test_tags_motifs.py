@@ -170,3 +170,21 @@ def test_relations_and_merging():
     for letter, mask in itertools.product(S.IUPAC, [0]):
         assert S.MASK[letter] > mask
     assert motifs.cluster(["AA", "AC", "GT"]) == [[1, 3], [4, 8]]
+
+
+def test_modified_bases(spark):
+    data = [("C+hm?,0;A+a,1;",), ("C+m?;",), ("T-17802.,4;U+g;",), ("broken",), (None,), ("C+m?,1;C+m?,2;",)]
+    got = {tuple(r)[:4]: r["n"] for r in tags.modified_bases(spark.createDataFrame(data, "mm string")).collect()}
+    assert got == {("+", "C", "h", "?"): 1, ("+", "C", "m", "?"): 3, ("+", "A", "a", "."): 1, ("-", "T", "17802", "."): 1, ("+", "T", "g", "."): 1}
+
+
+def test_deletions_and_uncalled(spark):
+    from strandline.operators import calls, validate
+
+    schema = "read_id string, flag int, chrom string, pos long, cigar string, seq string"
+    reads = spark.createDataFrame([("a", 0, "c", 10, "2S2M2D1I3M", "TTCCACGT"), ("b", 16, "c", 10, "5M", "GGAGA"), ("u", 4, None, None, None, "CC"), ("e", 0, "c", 12, "*", "C")], schema)
+    assert rows(calls.deletions(reads), "read_id", "ref_pos") == [("a", 12), ("a", 13)]
+    own = spark.createDataFrame([("a", 0, "c", 10, "+"), ("b", 16, "c", 11, "-")], "read_id string, flag int, chrom string, ref_pos long, strand string")
+    truth = spark.createDataFrame([("c", p, s, "m") for p in range(8, 19) for s in "+-"], "chrom string, pos long, strand string, code string")
+    got = rows(validate.uncalled(reads, own, truth), "read_id", "status")
+    assert got == sorted([("a", "no_call"), ("a", "deletion"), ("a", "deletion"), ("a", "no_call"), ("a", "mismatch G"), ("a", "mismatch T"), ("b", "no_call"), ("b", "mismatch T"), ("b", "no_call"), ("b", "mismatch T")], key=repr)
