@@ -9,24 +9,28 @@ applied to every sentence of every document in batches, inside one ``mapInPandas
 the scan; nothing is shuffled.
 
 Defined results: null or empty text, or text without letters, gives no segment and
-language null; repeated rows are labelled alike; ties between languages go to the first
-in ``LANGUAGES``; extra columns of the input are ignored.
+language null; text in none of ``LANGUAGES`` is ``und``; repeated rows are labelled alike;
+ties between languages go to the first in ``LANGUAGES``; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.mime import readable_parts
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru")
+#: None of them: the class of text the network doesn't know, and its code.
+OTHER = "und"
+CLASSES = (*LANGUAGES, OTHER)
 
 # ISO 639-2 codes and English names of the languages above.
 LABEL_NAMES = {
@@ -155,7 +159,7 @@ def windows_of(texts: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.n
 class ByteConvNet:
     """``taps[w][k]`` holds, for each symbol, what tap k of the width-w filters adds."""
 
-    def __init__(self, filters: int = 16, classes: int = len(LANGUAGES), seed: int = 7):
+    def __init__(self, filters: int = 16, classes: int = len(CLASSES), seed: int = 7):
         rng = np.random.default_rng(seed)
         self.filters = filters
         self.params = {f"t{w}": rng.normal(0, 0.25, (w, SYMBOLS, filters)).astype(np.float32) for w in WIDTHS}
@@ -231,7 +235,22 @@ class ByteConvNet:
             act[:, :, 2 * f :] += self.last.take(pairs[:, 2 : 2 + n], axis=0)
             h = np.maximum(act.max(1), 0)
             out.append(_softmax(h @ self.params["dense"] + self.params["bias"]))
-        return np.concatenate(out) if out else np.zeros((0, len(LANGUAGES)), np.float32)
+        return np.concatenate(out) if out else np.zeros((0, len(CLASSES)), np.float32)
+
+
+def save(net: ByteConvNet, spark: SparkSession, path: str) -> None:
+    """Weights as a table of one row, in any folder Spark can write to."""
+    buffer = io.BytesIO()
+    np.savez(buffer, filters=net.filters, **net.params)
+    spark.createDataFrame([(bytearray(buffer.getvalue()),)], "weights binary").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> ByteConvNet:
+    with np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["weights"]))) as kept:
+        net = ByteConvNet(int(kept["filters"]))
+        net.params = {k: kept[k] for k in kept.files if k != "filters"}
+    net.compile()
+    return net
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -242,6 +261,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 _FOLD = str.maketrans("łøđß", "lods")
+_VOWELS = frozenset("aeiouyæœаеиоуыэюя")
 
 
 def strip_accents(text: str) -> str:
@@ -262,9 +282,22 @@ def spoil(text: str, how: int) -> str:
         return text
 
 
-def train(texts: list[str], labels: list[str], steps: int = 700, seed: int = 7) -> ByteConvNet:
-    """Fits on the sentences of labelled documents; one sentence in four is spoilt.  The
-    first half of the steps sees all windows, the second only those whose label the first
+def strange(text: str, rng: np.random.Generator) -> str:
+    """The text in a language that is not there: its vowels stand for each other, and so do
+    its consonants, in an order drawn anew."""
+    low = text.lower()
+    letters = sorted({c for c in low if c.isalpha()})
+    plain = {c: strip_accents(c)[:1] for c in letters}
+    own = {}
+    for group in ([c for c in letters if plain[c] in _VOWELS], [c for c in letters if plain[c] not in _VOWELS]):
+        own.update(zip(group, [group[i] for i in rng.permutation(len(group))]))
+    return "".join(own.get(c, c) for c in low)
+
+
+def train(texts: list[str], labels: list[str], steps: int = 700, seed: int = 7, others: float = 0.3) -> ByteConvNet:
+    """Fits on the sentences of labelled documents; one sentence in four is spoilt, and a
+    share ``others`` is there once more in a strange language, to tell what is none of
+    ``LANGUAGES``.  The first half of the steps sees all windows, the second only those whose label the first
     fit gives at least a twentieth.  Classes are weighted alike by resampling."""
     rng = np.random.default_rng(seed)
     sample, y = [], []
@@ -273,6 +306,9 @@ def train(texts: list[str], labels: list[str], steps: int = 700, seed: int = 7)
             r = rng.random()
             sample.append(spoil(s, int(r * 20)) if r < 0.25 else s)
             y.append(LANGUAGES.index(label))
+            if rng.random() < others:
+                sample.append(strange(s, rng))
+                y.append(len(LANGUAGES))
     net = ByteConvNet(seed=seed)
     x, owner = windows_of(sample)
     if not len(x):
@@ -286,9 +322,9 @@ def train(texts: list[str], labels: list[str], steps: int = 700, seed: int = 7)
             x, target = x[likely], target[likely]
             if not len(x):
                 break
-        counts = np.bincount(target, minlength=len(LANGUAGES))
-        each = max(256 // len(LANGUAGES) + 1, int(np.median(counts[counts > 0])))
-        pick = np.concatenate([rng.choice(np.flatnonzero(target == c), each) for c in range(len(LANGUAGES)) if counts[c]])
+        counts = np.bincount(target, minlength=len(CLASSES))
+        each = max(256 // len(CLASSES) + 1, int(np.median(counts[counts > 0])))
+        pick = np.concatenate([rng.choice(np.flatnonzero(target == c), each) for c in range(len(CLASSES)) if counts[c]])
         net.fit(x[pick], target[pick], steps // 2, rate=0.02 if not part else 0.01, seed=seed + part)
     net.compile()
     return net
@@ -349,7 +385,7 @@ def segments_of(raws: list[str | None], net: ByteConvNet, switch: float = SWITCH
     texts = list(index)
     x, owner = windows_of(texts)
     logp = np.log(net.predict(x) + 1e-6)
-    total = np.zeros((len(texts), len(LANGUAGES)))
+    total = np.zeros((len(texts), len(CLASSES)))
     np.add.at(total, owner, logp)
     mean = np.exp(total / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[:, None])
     mean /= np.maximum(mean.sum(1, keepdims=True), 1e-12)
@@ -371,7 +407,7 @@ def segments_of(raws: list[str | None], net: ByteConvNet, switch: float = SWITCH
                 sure = np.flatnonzero(told[own])
                 # sentences at either end that tell no language add no words
                 inner = own[sure[0] : sure[-1] + 1] if len(sure) else own[:0]
-                found.append((LANGUAGES[c], float(np.average(mean[own, c], weights=size[own])), int(words[inner].sum()), " ".join(texts[i] for i in own)))
+                found.append((CLASSES[c], float(np.average(mean[own, c], weights=size[own])), int(words[inner].sum()), " ".join(texts[i] for i in own)))
         out.append(found)
     return out
 
@@ -402,7 +438,8 @@ def documents(docs: DataFrame, net: ByteConvNet, min_words: int = 15, **columns:
     """One row per document: its languages (those with a segment of ``min_words`` words
     in a row, by share of words), the main one, its share and confidence, and what is
     wrong with the label: ``missing``, ``wrong``, ``mixed`` (the body has several
-    languages) or ``ok``.  ``short``: no passage is long enough to tell.
+    languages) or ``ok``.  ``short``: no passage is long enough to tell; ``other``: one is,
+    but it is in none of ``LANGUAGES`` (lang ``und``).
 
     Rows are made where segments are made, so nothing is shuffled."""
     doc_id, text, lang = (columns.get(k, k) for k in ("doc_id", "text", "lang"))
@@ -429,10 +466,11 @@ def verdict(label: str | None, found: list[tuple[str, float, int, str]], min_wor
     for c, p, n, _ in found:
         weight[c] = weight.get(c, 0) + n
         sure[c] = sure.get(c, 0) + n * p
-    long = sorted({c for c, p, n, _ in found if n >= min_words and p >= least}, key=lambda c: (-weight[c], LANGUAGES.index(c)))
-    main = long[0] if long else max(weight, key=lambda c: weight[c], default=None)
+    enough = {c for c, p, n, _ in found if n >= min_words and p >= least}
+    long = sorted(enough - {OTHER}, key=lambda c: (-weight[c], LANGUAGES.index(c)))
+    main = long[0] if long else OTHER if OTHER in enough else max(weight, key=lambda c: weight[c], default=None)
     conf = [sure[c] / max(weight[c], 1) for c in long]
-    status = "short" if not long else "mixed" if len(long) > 1 else "missing" if not _names_any(label) else "ok" if named == main else "wrong"
+    status = ("other" if OTHER in enough else "short") if not long else "mixed" if len(long) > 1 else "missing" if not _names_any(label) else "ok" if named == main else "wrong"
     return named, main, (sure[main] / max(weight[main], 1)) if main else None, long, conf, status
 
 

@@ -21,6 +21,7 @@ empty tables give an empty mix and a report of the targets.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import math
 import os
@@ -38,27 +39,29 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-_encodings: dict[str, object] = {}
+_encodings: dict[bytes, object] = {}
 
 
-def encoding(path: str):
-    """The tokenizer of a vocabulary file, loaded once in a process."""
-    if path not in _encodings:
+def encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's contents, made once in a process."""
+    key = hashlib.md5(vocabulary).digest()
+    if key not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` and ``n_tokens`` of each row."""
-    path = os.path.join(folder, vocabulary)
+    """The columns ``keep`` and ``n_tokens`` of each row.  The vocabulary (about a
+    megabyte) is read here and sent to the tasks: executors need no such folder."""
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long"])
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(shared.value).encode_ordinary
         for f in frames:
             texts = f.pop("_text")
             f["n_tokens"] = [len(encode(t)) if t else 0 for t in texts]
@@ -125,7 +128,7 @@ def mix(
     text: str = "text",
     total_tokens: int | None = None,
     slots: int = 4096,
-    buckets: int = 1024,
+    buckets: int | None = None,
     salt: str = "strandline/mix/1",
     folder: str = TOKENIZER_DIR,
     vocabulary: str = VOCABULARY,
@@ -140,6 +143,9 @@ def mix(
     want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").collect()}
     goal = targets.select("source").where("source is not null").distinct()
     mixed = sized.join(F.broadcast(goal), "source", "left_semi")
+    if buckets is None:
+        # so that a bucket has about a million documents; the driver gets a sum of each
+        buckets = min(65_536, max(1024, sized.count() // 1_000_000))
     place = F.md5(F.concat(F.lit(salt + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     bucket = (F.conv(F.substring(place, 1, 6), 16, 10).cast("long") * buckets / F.lit(16**6)).cast("int")
     mixed = mixed.withColumn("place", place).withColumn("bucket", bucket)

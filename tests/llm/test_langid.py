@@ -131,3 +131,20 @@ def test_training_sample_is_bounded_and_stable(spark):
     assert a == b and a[1].count("en") == 50 and a[1].count("de") == 50
     assert langid.training_sample(df.limit(0)) == ([], [])
     assert langid.segments_of(["A: b\n\nhello there my friend"], langid.train([], []))[0]
+
+
+def test_languages_that_are_not_known(net):
+    """Words made of other syllables are in none of the languages; whole documents say so."""
+    rnd = random.Random(12)
+    syllables = [a + b for a in ("kx", "zv", "qh", "ŋg", "tłʼ", "xw", "dź") for b in ("õo", "ɨ", "ää", "uq", "ıy")]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4))) for _ in range(80)]
+    text = " ".join(rnd.choice(words) for _ in range(60)) + "."
+    (found,) = langid.segments_of([message(text)], net)
+    assert [f[0] for f in found] == [langid.OTHER]
+    assert langid.verdict("en", found, 15)[1:] == (langid.OTHER, pytest.approx(found[0][1]), [], [], "other")
+
+
+def test_weights_are_kept(spark, net, tmp_path):
+    langid.save(net, spark, str(tmp_path / "net"))
+    x, _ = langid.windows_of([sentence(random.Random(3), c) for c in WORDS])
+    assert (langid.load(spark, str(tmp_path / "net")).predict(x) == net.predict(x)).all()

@@ -66,7 +66,7 @@ def test_tokens_are_those_of_the_documented_pattern(spark):
     import public_tokenizers
     import tiktoken
 
-    own = mixing.encoding(f"{mixing.TOKENIZER_DIR}/{mixing.VOCABULARY}")
+    own = mixing.encoding(open(f"{mixing.TOKENIZER_DIR}/{mixing.VOCABULARY}", "rb").read())
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own._mergeable_ranks, special_tokens={})
     rnd = random.Random(2)
     for _ in range(300):
