@@ -1,7 +1,6 @@
 """Pass thresholds, probability histograms, summaries and quota samples.
 
-Percentiles interpolate linearly at (n − 1) q.  Values are counted before they are
-ranked, so a group's percentile handles its distinct values only.
+Percentiles interpolate linearly at (n − 1) q.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import probs as P
 from strandline.operators.calls import called
+from strandline.session import materialize
 
 
 def top_probabilities(pos: DataFrame) -> DataFrame:
@@ -18,12 +18,29 @@ def top_probabilities(pos: DataFrame) -> DataFrame:
     return pos.where("kind = 'call'").select("base", P.argmax_call(F.col("probs"))["p"].alias("p"))
 
 
+#: Bins of probabilities that are counted before values are looked at.
+BINS = 1 << 16
+
+
 def base_percentiles(pos: DataFrame, qs: list[float]) -> DataFrame:
-    """Percentiles of the top probabilities of each base; a base with one position has none."""
-    counted = top_probabilities(pos).groupBy("base", "p").agg(F.count("*").alias("c"))
-    both = counted.groupBy("base").agg(F.sum("c").alias("n"), F.percentile("p", [float(q) for q in qs], F.col("c")).alias("v"))
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), F.col("v").alias("v")))
-    return both.where("n >= 2").select("base", "n", pairs.alias("x")).select("base", "n", F.col("x.q").alias("q"), F.col("x.v").alias("value"))
+    """Percentiles of the top probabilities of each base; a base with one position has none.
+
+    Values are counted, and the counts summed in ``BINS`` bins; only the values of the bins
+    that hold a wanted rank are then sorted, each bin on its own."""
+    bin_ = F.floor(F.col("p") * BINS).alias("b")
+    counted = materialize(top_probabilities(pos).groupBy("base", "p", bin_).agg(F.count("*").alias("c")))
+    upto = F.sum("c").over(Window.partitionBy("base").orderBy("b"))  # BINS rows at most
+    bins = counted.groupBy("base", "b").agg(F.sum("c").alias("c")).select("base", "b", (upto - F.col("c")).alias("low"), upto.alias("high"))
+    q = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    spots = counted.groupBy("base").agg(F.sum("c").alias("n")).where("n >= 2").select("base", "n", q).withColumn("spot", (F.col("n") - 1) * F.col("q"))
+    ranks = spots.select("*", F.explode(F.array(F.floor("spot"), F.ceil("spot"))).alias("rank"))
+    near = F.broadcast(ranks).join(bins, "base").where("rank >= low and rank < high").select("base", "n", "q", "spot", "rank", "b", "low").distinct()  # two for each base and q
+    inside = F.sum("c").over(Window.partitionBy("base", "b").orderBy("p"))
+    values = counted.join(F.broadcast(near.select("base", "b", "low").distinct()), ["base", "b"]).withColumn("upto", F.col("low") + inside)
+    hit = values.drop("low").join(F.broadcast(near), ["base", "b"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    both = hit.groupBy("base", "n", "q", "spot").agg(F.min("p").alias("x"), F.max("p").alias("y"))
+    # exact where both neighbours are equal
+    return both.select("base", "n", "q", (F.col("x") + (F.col("y") - F.col("x")) * (F.col("spot") - F.floor("spot"))).alias("value"))
 
 
 def estimate_thresholds(pos: DataFrame, q: float = 0.1) -> P.Thresholds:

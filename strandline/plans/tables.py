@@ -128,11 +128,14 @@ def a18_pooled(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*dmr.POSITION, "total", dmr.counts_text(F.col("counts")).alias("counts"))
 
 
-def _cg_windows(spark: SparkSession, d: str):
+def _cg_windows(spark: SparkSession, d: str, n: int = WINDOW_N, span: int = SPAN):
+    """Calls at CG, windows over them, and the extents of reads; positions are made once."""
     pos = read_positions(spark, d).where(calls.is_primary(F.col("flag")) & calls.is_mapped(F.col("flag"), F.col("chrom"), F.col("ref_pos")) & F.col("strand").isin("+", "-"))
+    at_cg = F.coalesce((F.col("base") == "C") & (F.substring("ref_kmer", 3, 2) == "CG"), F.lit(False))
+    pos = materialize(pos.select("read_id", "flag", "chrom", "ref_pos", "strand", "base", "probs", "kind", at_cg.alias("cg")))
     extents = pos.groupBy("read_id", "flag", "chrom").agg(F.min("ref_pos").alias("ref_start"), (F.max("ref_pos") + 2).alias("ref_end"))
-    cg = pos.where((F.col("base") == "C") & (F.substring("ref_kmer", 3, 2) == "CG"))
-    wins = entropy.windows(cg.select("chrom", "strand", F.col("ref_pos").alias("pos")).distinct(), WINDOW_N, SPAN)
+    cg = pos.where("cg")
+    wins = entropy.windows(cg.select("chrom", "strand", F.col("ref_pos").alias("pos")).distinct(), n, span)
     return calls.called(cg, THRESHOLDS), wins, extents
 
 
@@ -140,12 +143,21 @@ def w5_windows(spark: SparkSession, d: str) -> DataFrame:
     return _cg_windows(spark, d)[1]
 
 
-def c19_entropy_windows(spark: SparkSession, d: str) -> DataFrame:
-    called, wins, extents = _cg_windows(spark, d)
-    out = entropy.window_entropy(entropy.window_patterns(called, wins, extents, WINDOW_N), WINDOW_N, 1)
+def _entropy(spark: SparkSession, d: str, n: int, span: int, min_coverage: int) -> DataFrame:
+    called, wins, extents = _cg_windows(spark, d, n, span)
+    out = entropy.window_entropy(entropy.window_patterns(called, wins, extents, n), n, min_coverage)
     return out.withColumn("entropy", F.round("entropy", 9) + 0.0)
 
 
+def c19_entropy_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _entropy(spark, d, WINDOW_N, SPAN, 1)
+
+
+def c19_entropy_default(spark: SparkSession, d: str) -> DataFrame:
+    """The usual windows: four positions within 50 bases, three reads."""
+    return _entropy(spark, d, 4, 50, 3)
+
+
 def c19_entropy_regions(spark: SparkSession, d: str) -> DataFrame:
     out = entropy.region_entropy(c19_entropy_windows(spark, d), regions(spark, d))
     for c in ("mean_entropy", "median_entropy", "mean_num_reads"):
@@ -182,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         c20_localize, c21_stats, c22_merge, c23_track, j11_containing, u4_interval_merge, a17_contradictions, c11_region_pair, c13_region_multi, c12_sites, c12_site_p_values,
-        c12_segments, a18_replicates, a18_pooled, w5_windows, c19_entropy_windows, c19_entropy_regions, c14_confusion, c14_accuracy, a10_thresholds,
+        c12_segments, a18_replicates, a18_pooled, w5_windows, c19_entropy_windows, c19_entropy_default, c19_entropy_regions, c14_confusion, c14_accuracy, a10_thresholds,
     )
 }
 
