@@ -127,5 +127,6 @@ def key_totals(chunks: DataFrame, sums: list[str], order: str | None = None) ->
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
     """Keys, null excluded, that hold more than ``share`` of all rows."""
+    totals = materialize(totals)  # one row per key; made once, read twice
     whole = totals.agg(F.sum("n_rows").alias("all_rows"))  # one row
     return totals.join(F.broadcast(whole)).where((F.col("n_rows") > share * F.col("all_rows")) & F.col("key").isNotNull())
