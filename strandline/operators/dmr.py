@@ -61,20 +61,17 @@ def pool(counts: DataFrame, keys: list[str], balanced: bool = False) -> DataFram
     return totals.join(maps, keys, "left").withColumn("counts", F.coalesce("counts", F.create_map().cast("map<string,bigint>"))).withColumn("n_mod", F.coalesce("n_mod", F.lit(0)))
 
 
-def llr(a: Column, na: Column, b: Column, nb: Column) -> Column:
-    """Score of two count maps: 0 without codes, the beta score with one code, Dirichlet
-    with more; null where each sample has one code and they differ (two categories, of
-    which the beta score allows one)."""
-    codes = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    n = F.greatest(F.size(a), F.size(b)) + 1
-    one = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def classes(m: Column, total: Column) -> Column:
-        mods = F.transform(codes, lambda c: F.coalesce(F.try_element_at(m, c), F.lit(0)).cast("double"))
-        return F.array_append(mods, (total - one(m)).cast("double"))
-
-    beta = F.when(F.size(codes) == 1, stats.llr_beta(one(a), na, one(b), nb))
-    return F.when(n < 2, F.lit(0.0)).when(n == 2, beta).otherwise(stats.llr_dirichlet(classes(a, na), classes(b, nb)))
+def llr(a: str, na: str, b: str, nb: str) -> Column:
+    """Score of two columns of count maps with their totals: 0 without codes, the beta
+    score with one code, Dirichlet with more; null where each sample has one code and they
+    differ (two categories, of which the beta score allows one)."""
+    codes = f"array_sort(array_union(map_keys({a}), map_keys({b})))"
+    whole = lambda m: f"aggregate(map_values({m}), 0L, (s, x) -> s + x)"
+    classes = lambda m, n: f"array_append(transform(codes, c -> cast(coalesce(try_element_at({m}, c), 0L) as double)), cast({n} - {whole(m)} as double))"
+    dirichlet = stats.let(f"named_struct('p', {classes(a, na)}, 'q', {classes(b, nb)})", "m", stats.llr_dirichlet_sql("m.p", "m.q"))
+    beta = stats.let(f"named_struct('k', {whole(a)}, 'l', {whole(b)})", "m", stats.llr_beta_sql("m.k", na, "m.l", nb))
+    n = f"greatest(size({a}), size({b}))"
+    return F.expr(stats.let(codes, "codes", f"case when {n} < 1 then 0D when {n} = 1 then case when size(codes) = 1 then {beta} end else {dirichlet} end"))
 
 
 def counts_text(m: Column) -> Column:
@@ -88,7 +85,7 @@ def sites(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select(*POSITION, F.col("counts").alias("a_counts"), F.col("total").alias("a_total"), F.col("n_mod").alias("a_mod"))
     right = b.select(*POSITION, F.col("counts").alias("b_counts"), F.col("total").alias("b_total"), F.col("n_mod").alias("b_mod"))
     both = left.join(right, list(POSITION)).where("a_total > 0 and b_total > 0")
-    score = llr(F.col("a_counts"), F.col("a_total"), F.col("b_counts"), F.col("b_total"))
+    score = llr("a_counts", "a_total", "b_counts", "b_total")
     return both.withColumn("score", score).withColumn("effect_size", F.col("a_mod") / F.col("a_total") - F.col("b_mod") / F.col("b_total"))
 
 
@@ -132,7 +129,7 @@ def region_pairs(counts: DataFrame, pairs: list[tuple[str, str]] | None = None,
         # the wanted pairs go to one side first, so that no other pair is ever joined
         wanted = counts.sparkSession.createDataFrame(pairs, "sample_a string, sample_b string")
         both = side("a").join(F.broadcast(wanted), "sample_a").join(side("b"), [*keys, "sample_b"])
-    score = llr(F.col("a_counts"), F.col("a_total"), F.col("b_counts"), F.col("b_total"))
+    score = llr("a_counts", "a_total", "b_counts", "b_total")
     percent = lambda x: F.col(f"{x}_mod") / F.col(f"{x}_total")
     return both.where("a_total > 0 and b_total > 0").select(
         "sample_a", "sample_b", *keys, score.alias("score"), counts_text(F.col("a_counts")).alias("a_counts"), "a_total", counts_text(F.col("b_counts")).alias("b_counts"), "b_total", percent("a").alias("a_pct_modified"), percent("b").alias("b_pct_modified")

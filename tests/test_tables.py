@@ -27,11 +27,11 @@ def test_ln_gamma():
 def test_llr_dispatch(spark):
     data = [({}, {}, 0.0), ({"m": 3}, {"h": 3}, None)]
     df = spark.createDataFrame(data, "a map<string,bigint>, b map<string,bigint>, want double")
-    for r in df.withColumn("s", dmr.llr(F.col("a"), F.lit(10), F.col("b"), F.lit(10))).collect():
+    for r in df.withColumn("s", dmr.llr("a", "10L", "b", "10L")).collect():
         assert r["s"] == r["want"]
     # with two codes of which one is never met, Dirichlet and beta differ by no more than the third class explains
     two = spark.createDataFrame([({"m": 3, "h": 0}, {"m": 8, "h": 0})], "a map<string,bigint>, b map<string,bigint>")
-    assert two.select(dmr.llr(F.col("a"), F.lit(10), F.col("b"), F.lit(10))).first()[0] > 0
+    assert two.select(dmr.llr("a", "10L", "b", "10L")).first()[0] > 0
 
 
 def beta_density_ratio(ka, na, kb, nb, d):
