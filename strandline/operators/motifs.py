@@ -248,9 +248,10 @@ class Search:
 
     def run(self, context: tuple[int, int] = (2, 2), seed_size: int = 3) -> list[Masks]:
         """Seeds of the fixed context, then none, then all seeds of a size; contexts of
-        motifs found are masked after each round.  A round that finds no new motif is the
-        last of its kind; each motif found takes k-mers away, so the rounds end."""
+        motifs found are masked after each round.  Rounds of a kind end with the first that
+        finds nothing new, or comes back to motifs that were found before."""
         found: list[Masks] = []
+        states = [found]
         while True:
             subset = self.open_kmers(found)
             rows = fixed_seeds(subset.withColumn("code", F.lit("x")), self.focus, context, self.min_log_odds).collect()
@@ -260,14 +261,18 @@ class Search:
                 m = self.refine({i - context[0]: mask for i, mask in enumerate(s) if mask != FULL and i != context[0]}, subset)
                 if self.good(m) and m not in refined and not any(is_superset(m, f) for f in found):
                     refined.append(m)
-            if not refined:
+            newer = merge(found + refined)
+            if not refined or newer in states:
                 break
-            found = merge(found + refined)
+            found = newer
+            states.append(newer)
         while True:
             m = self.refine({}, self.open_kmers(found))
-            if not self.good(m) or any(is_superset(m, f) for f in found):
+            newer = merge([*found, m])
+            if not self.good(m) or any(is_superset(m, f) for f in found) or newer in states:
                 break
-            found = merge([*found, m])
+            found = newer
+            states.append(newer)
         if seed_size <= len(self.offsets):
             subset = self.open_kmers(found)
             for seed in self.exhaustive_seeds(subset, seed_size):
