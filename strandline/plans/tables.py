@@ -73,6 +73,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 CELL = 10_000
+SEGMENT_GAP, SEGMENT_DECAY = 1_000_000, 100_000
 
 
 def _cells(spark: SparkSession, d: str, by: str, cell: int = CELL) -> DataFrame:
@@ -113,8 +114,8 @@ def _site_scores(spark: SparkSession, d: str, cell: int = CELL) -> DataFrame:
 
 def c12_segments(spark: SparkSession, d: str) -> DataFrame:
     scored = _site_scores(spark, d)
-    found = dmr.Segmenter(max_gap=1_000_000, decay=100_000, block=20_000_000).segment(scored)
-    return dmr.segment_rows(found, scored)
+    found = dmr.Segmenter(max_gap=SEGMENT_GAP, decay=SEGMENT_DECAY, block=20_000_000).segment(scored)
+    return dmr.segment_rows(found, scored).withColumn("score", F.round("score", 6) + 0.0).withColumn("effect_size", F.round("effect_size", 9) + 0.0)
 
 
 def a18_replicates(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +294,30 @@ _ESTIMATED = (
     .replace("c0 as (select", f"th as (select base, quantile_cont(p, 0.1) as v from (select {KEYS}, max(p) as p from cls group by all) group by base having count(*) >= 2),\nc0 as (select", 1)
 )
 
+_STAY = f"(1 - ((least(gap, {SEGMENT_DECAY}) - 2)::double / ({SEGMENT_DECAY} - 2) * 0.8::double + 0.1::double))"
+# the best path site by site, and back; l: of the chain's sites the last
+_SEGMENTS = f"""with recursive {_cells_sql(_SIDE_SQL)},
+bothn as (select chrom, chromstart, strand, a.total as ta, b.total as tb, a.n_mod as ma, b.n_mod as mb from (select * from pt where side = 'a') a join (select * from pt where side = 'b') b using ({_POS}) where a.total > 0 and b.total > 0),
+site as (select chrom, chromstart as pos, sum(ma)::bigint as a_mod, sum(ta)::bigint as a_total, sum(mb)::bigint as b_mod, sum(tb)::bigint as b_total from bothn group by all),
+sc as (select *, {_f("a_mod", "a_total")} + {_f("b_mod", "b_total")} - ({_f("(a_mod + b_mod)", "(a_total + b_total)")}) as score from site),
+p0 as (select *, exp(-greatest(score, 0)) as p1, row_number() over (partition by chrom order by pos) as i, pos - lag(pos) over (partition by chrom order by pos) as gap, lead(pos) over (partition by chrom order by pos) - pos as ahead from sc),
+st as materialized (select *, coalesce(gap, {SEGMENT_GAP}) >= {SEGMENT_GAP} as fresh, coalesce(ahead, {SEGMENT_GAP}) >= {SEGMENT_GAP} as l,
+  0.3::double * (ln(case when p1 = 0 then 1e-5 else p1 end) - ln(0.01::double / 0.99::double)) as e0, -0.1::double * (ln(1 - case when p1 = 0 then 1e-5 else p1 end + 1e-5) - ln(0.01::double / 0.99::double)) as e1 from p0),
+fw as (select chrom, i, 2 * ln(0.9::double) + e0 as v0, ln(0.9::double) + ln(0.1::double) + e1 as v1, 0 as b0, 0 as b1 from st where i = 1
+  union all select st.chrom, st.i, case when fresh then 2 * ln(0.9::double) else greatest(v0 + ln(0.9::double), v1 + ln(1 - {_STAY})) end + e0, case when fresh then ln(0.9::double) + ln(0.1::double) else greatest(v0 + ln(0.1::double), v1 + ln({_STAY})) end + e1,
+    case when not fresh and v1 + ln(1 - {_STAY}) > v0 + ln(0.9::double) then 1 else 0 end, case when not fresh and v1 + ln({_STAY}) > v0 + ln(0.1::double) then 1 else 0 end
+  from fw join st on st.chrom = fw.chrom and st.i = fw.i + 1),
+path as materialized (select st.*, v0, v1, b0, b1 from st join fw using (chrom, i)),
+bw as (select chrom, i, case when v1 > v0 then 1 else 0 end as state, b0, b1, fresh from path where l
+  union all select p.chrom, p.i, case when bw.state = 1 then bw.b1 else bw.b0 end, p.b0, p.b1, p.fresh from bw join path p on p.chrom = bw.chrom and p.i = bw.i - 1 where not bw.fresh),
+g as (select *, sum(case when fresh then 1 else 0 end) over (partition by chrom order by i) as chain from path join (select chrom, i, state from bw) using (chrom, i)),
+r as (select *, i - row_number() over (partition by chrom, chain, state order by i) as run from g where not l)
+select chrom, min(pos) as start, max(pos) + 1 as "end", case state when 0 then 'same' else 'different' end as state, count(*) as num_sites, sum(a_mod)::bigint as a_mod, sum(a_total)::bigint as a_total, sum(b_mod)::bigint as b_mod, sum(b_total)::bigint as b_total,
+  round({_f("sum(a_mod)", "sum(a_total)")} + {_f("sum(b_mod)", "sum(b_total)")} - ({_f("(sum(a_mod) + sum(b_mod))", "(sum(a_total) + sum(b_total))")}), 6) + 0.0 as score, round(sum(a_mod) / sum(a_total) - sum(b_mod) / sum(b_total), 9) + 0.0 as effect_size
+from r group by chrom, chain, state, run"""
+
 ORACLES = {
+    "c12_segments": _SEGMENTS,
     "a10_thresholds": f"with {_ESTIMATED}, k as (select *, case when kind = 'filtered' then top_code else call_code end as code from c where kind <> 'nocall') "
     "select base, code, count(*) filter (kind <> 'filtered') as pass_count, count(*) filter (kind = 'filtered') as fail_count from k group by all",
     "c19_entropy_windows": f"with {_ENTROPY} select * from ew",
