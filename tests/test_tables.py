@@ -245,3 +245,51 @@ def test_pool_balanced(spark):
     assert got == {1: ({"m": 12 + 18, "h": 1}, 50), 2: ({"m": 3}, 7)}
     plain = {r["chromstart"]: (dict(r["counts"]), r["total"]) for r in dmr.pool(df, ["chrom", "chromstart", "strand"]).collect()}
     assert plain == {1: ({"m": 35, "h": 2}, 50), 2: ({"m": 3}, 7)}
+
+
+def test_quotas_are_pruned(spark):
+    """Small contigs go, the smallest first and by name, until the sum is near the target."""
+    n = {"big": 900, **{f"c{i:02d}": 1 + i % 3 for i in range(30)}}
+    reads = spark.createDataFrame([(c,) for c, k in n.items() for _ in range(k)], "chrom string")
+    target, whole = 10, sum(n.values())
+    want = {c: min(k, math.ceil(k * target / whole - 1e-9)) for c, k in n.items()}
+    total = sum(want.values())
+    floor = 1
+    while total > 1.5 * target:
+        for c in sorted(want, key=lambda c: (want[c], c)):
+            if total <= target:
+                break
+            if 0 < want[c] <= floor:
+                total -= want[c]
+                want[c] = 0
+        floor += 1
+    assert {r["chrom"]: r["quota"] for r in thresholds.contig_quotas(reads, target).collect()} == want
+    assert sum(want.values()) <= 1.5 * target and want["big"]
+
+
+def test_percentiles_by_bins(spark):
+    rnd = random.Random(4)
+    data = [(b, {"m": rnd.choice([rnd.random(), 0.5, 0.25, 1.0])}, "call") for b in "CCCCA" for _ in range(400)] + [("T", {"g": 0.5}, "call")]
+    pos = spark.createDataFrame(data, "base string, probs map<string,double>, kind string")
+    got = {(r["base"], r["q"]): r["value"] for r in thresholds.base_percentiles(pos, [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    for b in "CA":
+        own = sorted(max(p["m"], 1 - p["m"]) for x, p, _ in data if x == b)
+        for q in (0.0, 0.1, 0.5, 0.77, 1.0):
+            spot = (len(own) - 1) * q
+            lo, hi = own[math.floor(spot)], own[math.ceil(spot)]
+            assert got[b, q] == pytest.approx(lo + (hi - lo) * (spot - math.floor(spot)), abs=1e-12)
+    assert len(got) == 10
+
+
+def test_tables_made_are_deleted(spark, tmp_path):
+    import os
+
+    from strandline import session
+
+    a, b = session.materialize(spark.range(5)), session.materialize(spark.range(7))
+    paths = [x._strandline_path.removeprefix("file://") for x in (a, b)]
+    assert all(map(os.path.isdir, paths))
+    session.release(a)
+    assert not os.path.isdir(paths[0]) and b.count() == 7
+    session.release_all()
+    assert not os.path.isdir(paths[1]) and not session._made
